@@ -2,33 +2,69 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prospectra.llm import packing, token_counts
+from prospectra.llm import chat, mixing, oracles, packing, quality_model, quality_rules, token_counts, toxicity
 
+Query = Callable[[SparkSession, str], DataFrame]
+_ROOT = str(Path(__file__).resolve().parents[2])
 
-def _documents(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/documents.parquet")
+
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers on this machine import the package from where the driver has it.
+
+    On a cluster the package is installed or sent with --py-files, and this changes nothing there.
+    """
+    known = os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if _ROOT not in known:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([_ROOT, *filter(None, known)])
+
+
+def _table(spark: SparkSession, root: str, name: str) -> DataFrame:
+    importable(spark)
+    return spark.read.parquet(f"{root}/{name}.parquet")
+
+
+def op3_toxicity(spark: SparkSession, root: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, root, "documents"), _table(spark, root, "labels"))
 
 
 def op4_best_fit_packing(spark: SparkSession, root: str) -> DataFrame:
-    return packing.pack_documents(_documents(spark, root), keep_ids=False)
+    return packing.pack_documents(_table(spark, root, "documents"), keep_ids=False)
 
 
 def op5_token_counts(spark: SparkSession, root: str) -> DataFrame:
-    counted = token_counts.count_tokens(_documents(spark, root))
+    counted = token_counts.count_tokens(_table(spark, root, "documents"))
     return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "op4_best_fit_packing": op4_best_fit_packing,
-        "op5_token_counts": op5_token_counts,
-    }
+def op6_quality_classifier(spark: SparkSession, root: str) -> DataFrame:
+    return quality_model.quality(_table(spark, root, "documents"), _table(spark, root, "labels"))
+
+
+def op8_chat_formatting(spark: SparkSession, root: str) -> DataFrame:
+    shown = chat.perspectives(_table(spark, root, "conversations"))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["stop"].cast("string"))), ",")
+    return shown.withColumn("spans", spans)
+
+
+def op9_quality_rules(spark: SparkSession, root: str) -> DataFrame:
+    return quality_rules.quality_rules(_table(spark, root, "documents"))
+
+
+def op10_mixing(spark: SparkSession, root: str) -> DataFrame:
+    return mixing.mix(_table(spark, root, "documents"), keep=["doc_id"]).drop("copies")
+
+
+def queries() -> dict[str, Query]:
+    found = [op3_toxicity, op4_best_fit_packing, op5_token_counts, op6_quality_classifier, op8_chat_formatting, op9_quality_rules, op10_mixing]
+    return {q.__name__: q for q in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
