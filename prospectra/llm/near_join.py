@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from prospectra.llm import components, scratch, words
 
 #: Coordinates of a count vector; entries of an R-tree node; members of a block.
-COORDINATES, FAN, BLOCK = 64, 16, 1024
+COORDINATES, FAN, BLOCK = 256, 16, 1024
 #: Rows up to which a table of keys is broadcast; beyond it the join is shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -187,17 +187,27 @@ class RTree:
 
 
 def _searched(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of members (cell, node, root) of a cell with different roots that the R-trees leave."""
+    """Pairs (a, b) of members (cell, node, root) of a cell with different roots that the R-trees leave, each once."""
+    own = members.groupBy(F.col("node").alias("m")).agg(F.sort_array(F.collect_set("cell")).alias("cells"))
     counts = members.groupBy(F.col("cell").alias("c")).agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     dealt = members.join(counts, F.col("cell") == F.col("c")).drop("c").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     spread = dealt.select("*", others.alias("other")).select("cell", "node", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    full = spread.join(sets.select("node", "n", "vector"), "node")
+    known = sets.select("node", "n", "vector").join(own, F.col("node") == F.col("m")).drop("m")
+    full = spread.join(known, "node")
 
     def search(table: pa.Table) -> pa.Table:
         node, root = table.column("node").to_numpy(), table.column("root").to_numpy()
         size, block = table.column("n").to_numpy(), table.column("block").to_numpy()
-        vectors = np.frombuffer(b"".join(table.column("vector").to_pylist()), "<i4").reshape(-1, COORDINATES).astype(np.int64)
+        vectors = np.frombuffer(b"".join(table.column("vector").to_pylist()), "<i4").reshape(-1, COORDINATES)
+        cells = table.column("cells").combine_chunks()
+        flat, at, here = cells.flatten().to_numpy(), cells.offsets.to_numpy() - cells.offsets[0].as_py(), table.column("cell")[0].as_py()
+
+        def first_here(x: int, y: int) -> bool:
+            """Whether this is the first cell that two members share: a pair comes from one cell only."""
+            both = np.intersect1d(flat[at[x] : at[x + 1]], flat[at[y] : at[y + 1]], assume_unique=True)
+            return both[0] == here
+
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         inner, outer = np.flatnonzero(block == i), np.flatnonzero(block == j)
         pairs = []
@@ -206,11 +216,12 @@ def _searched(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             for q in outer:
                 got = inner[tree.query(vectors[q], int(size[q]), percent)]
                 got = got[(root[got] != root[q]) & ((node[got] < node[q]) if i == j else np.ones(len(got), bool))]
+                got = got[[first_here(x, q) for x in got]] if len(got) else got
                 pairs.append(np.column_stack([np.minimum(node[got], node[q]), np.maximum(node[got], node[q])]))
         found = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
         return pa.table({"a": pa.array(found[:, 0], pa.int64()), "b": pa.array(found[:, 1], pa.int64())})
 
-    return full.groupBy("cell", "i", "j").applyInArrow(lambda t: search(t), "a bigint, b bigint").distinct()
+    return full.groupBy("cell", "i", "j").applyInArrow(lambda t: search(t), "a bigint, b bigint")
 
 
 def near_join(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
