@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prospectra.llm import chat, mixing, near_join, oracles, packing, quality_model, quality_rules, token_counts, toxicity
+from prospectra.llm import chat, language_model, mixing, near_join, oracles, packing, quality_model, quality_rules, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 _ROOT = str(Path(__file__).resolve().parents[2])
@@ -34,6 +34,10 @@ def op1_ngram_jaccard_join(spark: SparkSession, root: str) -> DataFrame:
     return near_join.near_join(_table(spark, root, "documents"))
 
 
+def op2_lm_scoring(spark: SparkSession, root: str) -> DataFrame:
+    return language_model.score_texts(_table(spark, root, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, root: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, root, "documents"), _table(spark, root, "labels"))
 
@@ -66,7 +70,7 @@ def op10_mixing(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_ngram_jaccard_join, op3_toxicity, op4_best_fit_packing, op5_token_counts, op6_quality_classifier, op8_chat_formatting, op9_quality_rules, op10_mixing]
+    found = [op1_ngram_jaccard_join, op2_lm_scoring, op3_toxicity, op4_best_fit_packing, op5_token_counts, op6_quality_classifier, op8_chat_formatting, op9_quality_rules, op10_mixing]
     return {q.__name__: q for q in found}
 
 
