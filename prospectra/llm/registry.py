@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prospectra.llm import chat, language_model, mixing, near_join, oracles, packing, quality_model, quality_rules, token_counts, toxicity
+from prospectra.llm import chat, language_model, mixing, near_join, oracles, packing, quality_model, quality_rules, token_counts, toxicity, vector_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 _ROOT = str(Path(__file__).resolve().parents[2])
@@ -55,6 +55,10 @@ def op6_quality_classifier(spark: SparkSession, root: str) -> DataFrame:
     return quality_model.quality(_table(spark, root, "documents"), _table(spark, root, "labels"))
 
 
+def op7_embedding_near_dedup(spark: SparkSession, root: str) -> DataFrame:
+    return vector_dedup.near_vectors(_table(spark, root, "embeddings"))
+
+
 def op8_chat_formatting(spark: SparkSession, root: str) -> DataFrame:
     shown = chat.perspectives(_table(spark, root, "conversations"))
     spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["stop"].cast("string"))), ",")
@@ -70,7 +74,7 @@ def op10_mixing(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_ngram_jaccard_join, op2_lm_scoring, op3_toxicity, op4_best_fit_packing, op5_token_counts, op6_quality_classifier, op8_chat_formatting, op9_quality_rules, op10_mixing]
+    found = [op1_ngram_jaccard_join, op2_lm_scoring, op3_toxicity, op4_best_fit_packing, op5_token_counts, op6_quality_classifier, op7_embedding_near_dedup, op8_chat_formatting, op9_quality_rules, op10_mixing]
     return {q.__name__: q for q in found}
 
 
