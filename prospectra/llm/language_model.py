@@ -211,7 +211,7 @@ def mixture_weights(cell: np.ndarray, n: np.ndarray, distinct: int, steps: int =
         part = part / part.sum(axis=1, keepdims=True) * n[:, None]
         sums = np.column_stack([np.bincount(b, part[:, k], CONTEXTS) for k in range(3)])
         prior = sums.sum(axis=0) / max(sums.sum(), 1e-9) if sums.sum() > 0 else np.array([0.4, 0.5, 0.1])
-        sums += 2 * prior + 0.02  # bins with few occurrences lean on all the others
+        sums = sums + 2 * prior + 0.02  # bins with few occurrences lean on all the others
         sums[0, 0] = 0
         weights = sums / sums.sum(axis=1, keepdims=True)
     return weights
