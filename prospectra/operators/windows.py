@@ -34,3 +34,34 @@ def best_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: in
     """The first n rows of each key in the given total order."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= n).drop("__rn")
+
+
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str) -> DataFrame:
+    """Adds each row's number within its key, from 1, in a total order."""
+    return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
+
+
+def competition_rank(df: DataFrame, groups: Sequence[str], value: str, out: str) -> DataFrame:
+    """Adds 1 + the number of rows with a higher value in the group; windows run over distinct values."""
+    counts = df.groupBy(*groups, value).agg(F.count("*").alias("__n"))
+    above = Window.partitionBy(*groups).orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1)
+    places = counts.select(*groups, value, (F.coalesce(F.sum("__n").over(above), F.lit(0)) + 1).alias(out))
+    return df.join(places, [*groups, value])
+
+
+def latest_before(df: DataFrame, keys: Sequence[str], order: Sequence[str], is_checkpoint: Column, value: str, out: str) -> DataFrame:
+    """Adds the `value` of the last checkpoint row of the key at or before each row, in one window and without a range join."""
+    w = Window.partitionBy(*keys).orderBy(order[0]).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    best = F.max(F.when(is_checkpoint, F.struct(*order, F.col(value).alias("__value")))).over(w)
+    return df.withColumn(out, best["__value"])
+
+
+def completed(df: DataFrame, groups: Sequence[str], period: str, closed: str) -> DataFrame:
+    """The groups' periods of which every row is closed."""
+    return df.groupBy(*groups, period).agg(F.min(closed).alias("__all")).where("__all").drop("__all")
+
+
+def expanding(df: DataFrame, period: str, sums: dict[str, str]) -> DataFrame:
+    """Adds sums over strictly earlier periods; `df` has one row per period, so the one window is small."""
+    before = Window.partitionBy(F.lit(0)).orderBy(period).rowsBetween(Window.unboundedPreceding, -1)
+    return df.select("*", *[F.sum(c).over(before).alias(out) for c, out in sums.items()])

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -12,15 +13,21 @@ _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 
 
-def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
-    """Adds a query, and the SQL whose rows it must return where SQL can express it."""
+def register(name: str, oracle: str | None = None, rounded: Sequence[str] = (), digits: int = 6) -> Callable[[Query], Query]:
+    """Adds a query, and the SQL whose rows it must return where SQL can express it.
+
+    Sums of floats depend on the order of rows: the columns in `rounded` are rounded on both sides.
+    """
 
     def add(query: Query) -> Query:
         if name in _QUERIES:
             raise ValueError(f"query {name!r} is registered twice")
         _QUERIES[name] = query
+        if rounded:
+            _QUERIES[name] = lambda spark, root: query(spark, root).withColumns({c: F.round(c, digits) for c in rounded})
         if oracle is not None:
-            _ORACLES[name] = oracle
+            changes = ", ".join(f"round({c}, {digits}) AS {c}" for c in rounded)
+            _ORACLES[name] = f"SELECT * REPLACE ({changes}) FROM ({oracle})" if rounded else oracle
         return query
 
     return add
@@ -38,4 +45,4 @@ def oracle_sql() -> dict[str, str]:
 
 def _load() -> None:
     """Importing a plan module registers its queries."""
-    from prospectra.plans import ranking  # noqa: F401
+    from prospectra.plans import aggregates, matching, ranking, scalars, statistics  # noqa: F401
