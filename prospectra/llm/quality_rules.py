@@ -20,7 +20,7 @@ from prospectra.llm import scratch, textstats
 
 SYMBOLS = "#*$%&|<>"
 #: The statistics of a text that the outlier rule looks at, with the least standard deviation that counts.
-FEATURES = {"f_length": 0.25, "f_word": 0.08, "f_symbol": 0.03, "f_line": 0.05, "f_repeat": 0.05}
+FEATURES = {"f_length": 0.25, "f_word": 0.08, "f_symbol": 0.03, "f_line": 0.08, "f_repeat": 0.1}
 #: Grid of the transformed statistics.
 GRID = 1024.0
 #: Positions of repeated windows share a long with their hash up to this many words.
