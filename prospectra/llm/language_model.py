@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 from prospectra.llm import labelled, scratch, words
 
 END, START = np.uint64(0x1D872B41F3A5C967), np.uint64(0x6A09E667F3BCC909)
-#: Bytes of a slice of texts; training tokens of a bucket; counts that are broadcast.
-SLICE, BUCKET_TOKENS, BROADCAST_COUNTS = 4_000_000, 2_000_000, 2_000_000
+#: Bytes of a slice of texts; training tokens of a bucket; counts that are broadcast, at most (64 MB of them).
+SLICE, BUCKET_TOKENS, BROADCAST_COUNTS = 4_000_000, 2_000_000, 4_000_000
+#: Bits by which bigrams are known inside a bucket of some millions: about one in 10 ** 8 is taken for another.
+PAIR_BITS = 48
 #: Steps of the grid in an octave of a probability; bins of context counts; steps of the maximisation.
 GRID, CONTEXTS, EM_STEPS = 8, 48, 60
 
@@ -124,6 +126,7 @@ def _blocks(rows: DataFrame, kind: str, known, total: int, distinct: int, bucket
             )
             pair = words.mix(words.mix(context) + token)
             home = ((pair >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            pair >>= np.uint64(64 - PAIR_BITS)
             types, first, of = np.unique(pair, return_index=True, return_inverse=True)  # ascending, so bucket by bucket
             seen = np.bincount(of, train[doc], len(types)).astype(np.int64)
             edges = np.searchsorted(home[first], np.arange(buckets + 1))
@@ -135,7 +138,8 @@ def _blocks(rows: DataFrame, kind: str, known, total: int, distinct: int, bucket
                 docs, uses = np.unique(doc[at], return_counts=True)
                 out[0].append(int(b))
                 out[1].append(ids[docs])
-                for k, x in enumerate((types[lo:hi], seen[lo:hi], cv[first[lo:hi]], cw[first[lo:hi]], (of[at] - lo).astype("<u4"), uses.astype("<u4"))):
+                steps = np.diff(types[lo:hi], prepend=np.uint64(0))  # ascending, so steps take fewer bytes
+                for k, x in enumerate((steps, seen[lo:hi], cv[first[lo:hi]], cw[first[lo:hi]], (of[at] - lo).astype("<u4"), uses.astype("<u4"))):
                     out[2 + k].append(_squeezed(x))
                 out[8].append(int(hi - lo))
             m = len(out[0])
@@ -160,7 +164,7 @@ def _counted(blocks: DataFrame) -> DataFrame:
         new: list[bytes | None] = [None] * len(size)
         if full:
             seen = table.column("seen").to_pylist()
-            types = np.concatenate([_restored(packed[i], "<u8", int(size[i])) for i in full])
+            types = np.concatenate([np.cumsum(_restored(packed[i], "<u8", int(size[i])), dtype=np.uint64) for i in full])
             kinds, of = np.unique(types, return_inverse=True)
             total = np.bincount(of, np.concatenate([_restored(seen[i], "<i8", int(size[i])) for i in full]), len(kinds)).astype(np.int64)[of]
             at = 0
