@@ -26,8 +26,9 @@ from prospectra.llm import labelled, scratch, words
 END, START = np.uint64(0x1D872B41F3A5C967), np.uint64(0x6A09E667F3BCC909)
 #: Bytes of a slice of texts; training tokens of a bucket; counts that are broadcast, at most (64 MB of them).
 SLICE, BUCKET_TOKENS, BROADCAST_COUNTS = 4_000_000, 2_000_000, 4_000_000
-#: Bits by which bigrams are known inside a bucket of some millions: about one in 10 ** 8 is taken for another.
-PAIR_BITS = 48
+#: Bits by which bigrams are known inside a bucket of some millions: about one in 500,000 is taken for another.
+PAIR_BITS = 40
+_PAIR = np.uint64((1 << PAIR_BITS) - 1)
 #: Steps of the grid in an octave of a probability; bins of context counts; steps of the maximisation.
 GRID, CONTEXTS, EM_STEPS = 8, 48, 60
 
@@ -122,7 +123,7 @@ def _blocks(rows: DataFrame, kind: str, known, total: int, distinct: int, bucket
             empty = pa.nulls(n, pa.binary())
             spread = (words.mix(ids.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(spread), pa.array(ids[:, None].tolist(), pa.list_(pa.int64())), batch.column("__key"), batch.column("__train"), *[pa.array(x) for x in info], *[empty] * 6, pa.array(np.zeros(n, np.int32))], names
+                [pa.array(spread), pa.array(np.full(n, ids[0] if n else 0)), pa.array(ids[:, None].tolist(), pa.list_(pa.int64())), batch.column("__key"), batch.column("__train"), *[pa.array(x) for x in info], *[empty] * 6, pa.array(np.zeros(n, np.int32))], names
             )
             pair = words.mix(words.mix(context) + token)
             home = ((pair >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
@@ -138,18 +139,23 @@ def _blocks(rows: DataFrame, kind: str, known, total: int, distinct: int, bucket
                 docs, uses = np.unique(doc[at], return_counts=True)
                 out[0].append(int(b))
                 out[1].append(ids[docs])
-                steps = np.diff(types[lo:hi], prepend=np.uint64(0))  # ascending, so steps take fewer bytes
-                for k, x in enumerate((steps, seen[lo:hi], cv[first[lo:hi]], cw[first[lo:hi]], (of[at] - lo).astype("<u4"), uses.astype("<u4"))):
+                # By context count and then ascending: both, as steps, take fewer bytes.
+                own = np.lexsort((types[lo:hi], cv[first[lo:hi]]))
+                place = np.empty(len(own), "<u4")
+                place[own] = np.arange(len(own))
+                of_first = first[lo:hi][own]
+                steps = np.diff(types[lo:hi][own], prepend=np.uint64(0)) & _PAIR
+                for k, x in enumerate((steps, seen[lo:hi][own], cv[of_first], cw[of_first], place[of[at] - lo], uses.astype("<u4"))):
                     out[2 + k].append(_squeezed(x))
                 out[8].append(int(hi - lo))
             m = len(out[0])
             blank = [pa.nulls(m, batch.column("__key").type), pa.nulls(m, pa.bool_()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64())]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.int32()), pa.array(out[1], pa.list_(pa.int64())), *blank, *[pa.array(x, pa.binary()) for x in out[2:8]], pa.array(out[8], pa.int32())], names
+                [pa.array(out[0], pa.int32()), pa.array(np.full(m, ids[0] if n else 0)), pa.array(out[1], pa.list_(pa.int64())), *blank, *[pa.array(x, pa.binary()) for x in out[2:8]], pa.array(out[8], pa.int32())], names
             )
 
-    names = ["bucket", "rows", "key", "train", "n_tokens", "n_known", "base", "types", "seen", "cv", "cw", "refs", "uses", "size"]
-    schema = f"bucket int, rows array<bigint>, key {kind}, train boolean, n_tokens bigint, n_known bigint, base double, types binary, seen binary, cv binary, cw binary, refs binary, uses binary, size int"
+    names = ["bucket", "slice", "rows", "key", "train", "n_tokens", "n_known", "base", "types", "seen", "cv", "cw", "refs", "uses", "size"]
+    schema = f"bucket int, slice bigint, rows array<bigint>, key {kind}, train boolean, n_tokens bigint, n_known bigint, base double, types binary, seen binary, cv binary, cw binary, refs binary, uses binary, size int"
     return rows.mapInArrow(pack, schema)
 
 
@@ -164,7 +170,7 @@ def _counted(blocks: DataFrame) -> DataFrame:
         new: list[bytes | None] = [None] * len(size)
         if full:
             seen = table.column("seen").to_pylist()
-            types = np.concatenate([np.cumsum(_restored(packed[i], "<u8", int(size[i])), dtype=np.uint64) for i in full])
+            types = np.concatenate([np.cumsum(_restored(packed[i], "<u8", int(size[i])), dtype=np.uint64) & _PAIR for i in full])
             kinds, of = np.unique(types, return_inverse=True)
             total = np.bincount(of, np.concatenate([_restored(seen[i], "<i8", int(size[i])) for i in full]), len(kinds)).astype(np.int64)[of]
             at = 0
@@ -221,29 +227,29 @@ def mixture_weights(cell: np.ndarray, n: np.ndarray, distinct: int, steps: int =
     return weights
 
 
-def _scored(counted: DataFrame, weights: np.ndarray, kind: str, total: int, distinct: int) -> DataFrame:
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scored(counted: DataFrame, weights: np.ndarray, total: int, distinct: int) -> DataFrame:
+    """(row, score) of every text: blocks give packed parts, which each slice of texts adds up."""
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            sums = []
             for row in batch.to_pylist():
-                n, rows = row["size"], np.array(row["rows"], np.int64)
-                if row["types"] is None:
-                    info = [[row[k]] for k in ("key", "train", "n_tokens", "n_known", "base")]
-                    yield pa.RecordBatch.from_arrays([pa.array(rows), *[pa.array(x, t) for x, t in zip(info, kinds, strict=True)], pa.array([0.0])], names)
-                    continue
+                n, size = row["size"], len(row["rows"])
                 cvw, cv, cw = (_restored(row[k], "<i8", n) for k in ("types", "cv", "cw"))
-                uses = _restored(row["uses"], "<u4", len(rows))
+                uses = _restored(row["uses"], "<u4", size)
                 refs = _restored(row["refs"], "<u4", int(uses.sum()))
                 lam = weights[_bin(cv)]
                 p = lam[:, 0] * cvw / np.maximum(cv, 1) + lam[:, 1] * cw / max(total, 1) + lam[:, 2] / (distinct + 1)
-                part = np.bincount(np.repeat(np.arange(len(rows)), uses), np.log10(p)[refs], len(rows))
-                blank = [pa.nulls(len(rows), t) for t in kinds]
-                yield pa.RecordBatch.from_arrays([pa.array(rows), *blank, pa.array(part)], names)
+                sums.append(np.bincount(np.repeat(np.arange(size), uses), np.log10(p)[refs], size))
+            yield pa.RecordBatch.from_arrays([batch.column("slice"), batch.column("rows"), pa.array(sums, pa.list_(pa.float64()))], ["slice", "rows", "parts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        rows = table.column("rows").combine_chunks().flatten().to_numpy()
+        kinds, of = np.unique(rows, return_inverse=True)
+        return pa.table({"row": kinds, "score": np.bincount(of, table.column("parts").combine_chunks().flatten().to_numpy(), len(kinds))})
 
-    key_type = counted.select("key").limit(0).toArrow().schema.field("key").type
-    kinds = [key_type, pa.bool_(), pa.int64(), pa.int64(), pa.float64()]
-    names = ["row", "key", "train", "n_tokens", "n_known", "base", "part"]
-    parts = counted.mapInArrow(score, f"row bigint, key {kind}, train boolean, n_tokens bigint, n_known bigint, base double, part double")
-    return parts.groupBy("row").agg(*[F.max(k).alias(k) for k in names[1:6]], F.sum("part").alias("score"))
+    packed = counted.where("types is not null").select("slice", "rows", "types", "cv", "cw", "refs", "uses", "size")
+    return packed.mapInArrow(parts, "slice bigint, rows array<bigint>, parts array<double>").groupBy("slice").applyInArrow(lambda t: add(t), "row bigint, score double")
 
 
 def score_texts(df: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 5, held_out: int = 1, broadcast_counts: int = BROADCAST_COUNTS) -> DataFrame:
@@ -272,5 +278,6 @@ def score_texts(df: DataFrame, key: str = "doc_id", text: str = "text", folds: i
     counted = scratch.stored(_counted(_blocks(rows, kind, known, total, distinct, buckets, rare)))
     cells = _deleted(counted, total).toArrow()
     weights = mixture_weights(cells.column("cell").to_numpy(), cells.column("n").to_numpy(), distinct)
-    done = _scored(counted, weights, kind, total, distinct)
+    texts = counted.where("types is null").select(F.col("rows")[0].alias("row"), "key", "train", "n_tokens", "n_known", "base")
+    done = texts.join(_scored(counted, weights, total, distinct), "row")
     return done.select(F.col("key").alias(key), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
