@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 
 def _timed(events: DataFrame, time: str, late: str) -> DataFrame:
-    return events.withWatermark(time, late)
+    """A stream's watermark needs timestamps with a zone; a table's stay as they are, whatever the session's zone."""
+    return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late) if events.isStreaming else events
 
 
 def tumbling(events: DataFrame, key: str, value: str, time: str = "ts", width: str = "1 day", late: str = "1 day") -> DataFrame:
