@@ -37,7 +37,7 @@ def _years(rows: DataFrame) -> list[int]:
 
 @register("expanding_validation")
 def expanding_validation(spark: SparkSession, root: str) -> DataFrame:
-    """Per year, how well a model of all earlier years does on it, beside the earlier years' rate."""
+    """Per year, how well a model of all earlier years does on it."""
     rows = order_rows(spark, root)
     fitted = models.fit_logistic(rows, models.expanding_plan(_years(rows)), ["o_totalprice", "month"], "late", "year")
     scored = fitted.score(rows, "year").where("probability IS NOT NULL")
