@@ -2,7 +2,8 @@
 
 Weights of the three depend on how often the context was seen, one set for each power of two; they
 are learned by expectation-maximisation on deleted counts: every training occurrence is predicted
-from the counts without it. Counts come from all training texts. Tokens are known by 64-bit hashes.
+from the counts without it. Counts come from all training texts. Tokens and bigrams are known by
+64-bit hashes.
 
 Texts are read twice, for token counts and for bigrams. Bigrams are shuffled in packed blocks, one
 for each slice of texts and bucket of bigrams, which hold a slice's bigrams once, with the counts of
@@ -26,9 +27,6 @@ from prospectra.llm import labelled, scratch, words
 END, START = np.uint64(0x1D872B41F3A5C967), np.uint64(0x6A09E667F3BCC909)
 #: Bytes of a slice of texts; training tokens of a bucket; counts that are broadcast, at most (64 MB of them).
 SLICE, BUCKET_TOKENS, BROADCAST_COUNTS = 4_000_000, 2_000_000, 4_000_000
-#: Bits by which bigrams are known inside a bucket of some millions: about one in 500,000 is taken for another.
-PAIR_BITS = 40
-_PAIR = np.uint64((1 << PAIR_BITS) - 1)
 #: Steps of the grid in an octave of a probability; bins of context counts; steps of the maximisation.
 GRID, CONTEXTS, EM_STEPS = 8, 48, 60
 
@@ -127,7 +125,6 @@ def _blocks(rows: DataFrame, kind: str, known, total: int, distinct: int, bucket
             )
             pair = words.mix(words.mix(context) + token)
             home = ((pair >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-            pair >>= np.uint64(64 - PAIR_BITS)
             types, first, of = np.unique(pair, return_index=True, return_inverse=True)  # ascending, so bucket by bucket
             seen = np.bincount(of, train[doc], len(types)).astype(np.int64)
             edges = np.searchsorted(home[first], np.arange(buckets + 1))
@@ -144,7 +141,7 @@ def _blocks(rows: DataFrame, kind: str, known, total: int, distinct: int, bucket
                 place = np.empty(len(own), "<u4")
                 place[own] = np.arange(len(own))
                 of_first = first[lo:hi][own]
-                steps = np.diff(types[lo:hi][own], prepend=np.uint64(0)) & _PAIR
+                steps = np.diff(types[lo:hi][own], prepend=np.uint64(0))
                 for k, x in enumerate((steps, seen[lo:hi][own], cv[of_first], cw[of_first], place[of[at] - lo], uses.astype("<u4"))):
                     out[2 + k].append(_squeezed(x))
                 out[8].append(int(hi - lo))
@@ -170,7 +167,7 @@ def _counted(blocks: DataFrame) -> DataFrame:
         new: list[bytes | None] = [None] * len(size)
         if full:
             seen = table.column("seen").to_pylist()
-            types = np.concatenate([np.cumsum(_restored(packed[i], "<u8", int(size[i])), dtype=np.uint64) & _PAIR for i in full])
+            types = np.concatenate([np.cumsum(_restored(packed[i], "<u8", int(size[i])), dtype=np.uint64) for i in full])
             kinds, of = np.unique(types, return_inverse=True)
             total = np.bincount(of, np.concatenate([_restored(seen[i], "<i8", int(size[i])) for i in full]), len(kinds)).astype(np.int64)[of]
             at = 0

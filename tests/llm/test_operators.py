@@ -115,6 +115,18 @@ def test_language_model_is_a_distribution(spark):
     assert held and all(-10 < r.score < 0 for r in held)
 
 
+def test_language_model_tells_bigrams_with_close_hashes_apart(spark):
+    """The hashes of "w2084 w627" and "w4743 w5502" differ in their 14 lowest bits only."""
+
+    def probe(first):
+        rows = [f"{first} w627"] * 200 + ["w4743 x", "y w5502"] * 20 + ["w2084 z", "w2085 z"]
+        df = spark.createDataFrame([(2, t) for t in rows] + [(1000, "w4743 w5502")], "doc_id bigint, text string")
+        return next(r.score for r in language_model.score_texts(df, held_out=zlib.crc32(b"1000") % 5).collect() if r.doc_id == 1000)
+
+    assert zlib.crc32(b"2") % 5 != zlib.crc32(b"1000") % 5
+    assert probe("w2084") == pytest.approx(probe("w2085"), abs=1e-9)
+
+
 def test_mixture_weights_follow_the_better_estimate():
     rng = np.random.default_rng(0)
     p2, p1 = np.where(rng.random(500) < 0.9, 0.5, 0.0), np.full(500, 0.001)
