@@ -19,8 +19,11 @@ from pyspark.sql import functions as F
 from prospectra.llm import scratch, textstats
 
 SYMBOLS = "#*$%&|<>"
-#: The statistics of a text that the outlier rule looks at, with the least standard deviation that counts.
+#: The statistics of a text that the outlier rule looks at, with the least standard deviation that counts: for lines
+#: and repeats about what one line or phrase of a short text changes.
 FEATURES = {"f_length": 0.25, "f_word": 0.08, "f_symbol": 0.03, "f_line": 0.08, "f_repeat": 0.1}
+#: The 0.99999 quantile of a chi-squared variable with as many degrees of freedom as there are statistics.
+CUTOFF = 30.856
 #: Grid of the transformed statistics.
 GRID = 1024.0
 #: Positions of repeated windows share a long with their hash up to this many words.
@@ -202,7 +205,7 @@ def quality_rules(
     key: str = "doc_id",
     text: str = "text",
     groups: tuple[str, ...] = ("lang", "source"),
-    cutoff: float = 60.0,
+    cutoff: float = CUTOFF,
     least_words: int = 50,
     most_repeated: int = 50,
     least: int = 100,
@@ -210,7 +213,8 @@ def quality_rules(
     """One row per row of `df`: key, counts, base_failed, distance (null where none was taken) and kept.
 
     Base rules: fewer than `least_words` words, or over `most_repeated` percent of the words in
-    repeated windows. What passes them is rejected if its robust squared distance is over `cutoff`;
+    repeated windows. What passes them is rejected if its robust squared distance is over `cutoff`, which
+    each statistic can reach alone;
     texts in groups too small for an estimate are kept. Null or empty texts fail the base rules.
     Null languages and sources are groups of their own; the key may be null or repeated. An empty
     table gives no rows.

@@ -265,6 +265,28 @@ def test_robust_distances_equal_numpy(spark):
     assert got["__d2"].max() > 60
 
 
+def test_each_statistic_can_reach_the_cutoff(spark):
+    c = quality_rules.CUTOFF
+    beyond = math.erfc(math.sqrt(c / 2)) + math.sqrt(2 * c / math.pi) * math.exp(-c / 2) * (1 + c / 3)
+    assert len(quality_rules.FEATURES) == 5 and beyond == pytest.approx(1e-5, rel=1e-3)
+    rows = [(100 + i % 5, 500 + 5 * (i % 5), 0, 20, 0, 0) for i in range(200)]
+    odd = [(2000, 10000, 0, 20, 0, 0), (100, 900, 0, 20, 0, 0), (100, 500, 50, 20, 0, 0), (100, 500, 0, 20, 18, 0), (100, 500, 0, 20, 0, 50)]
+    df = spark.createDataFrame([(*r, "en", "s") for r in rows + odd], "n_words bigint, word_chars bigint, n_symbols bigint, n_lines bigint, n_dup_lines bigint, n_repeat_words bigint, lang string, source string")
+    far = quality_rules.mcd_distances(df).where(F.col("__d2") > c).select("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words").collect()
+    assert sorted(map(tuple, far)) == sorted(odd)
+
+
+def test_quality_rules_reject_texts_of_repeats(spark):
+    r = random.Random(6)
+    ordinary = lambda n: [f"word{r.randrange(10000)}" for _ in range(n)]
+    rows = [(i, " ".join(ordinary(100 + i % 9))) for i in range(200)]
+    phrase = ordinary(25)
+    rows += [(1000, " ".join(phrase + ordinary(50) + phrase)), (1001, "\n".join(["word1"] * 19 + [" ".join(ordinary(70))]))]
+    df = spark.createDataFrame([(*x, "en", "s") for x in rows], "doc_id bigint, text string, lang string, source string")
+    got = {x.doc_id: x for x in quality_rules.quality_rules(df).collect()}
+    assert not any(got[i].base_failed or got[i].kept for i in (1000, 1001)) and all(got[i].kept for i in range(200))
+
+
 def test_mix(documents, empty):
     rows = mixing.mix(documents).collect()
     again = mixing.mix(documents.repartition(3), keep=["doc_id"]).collect()
