@@ -23,18 +23,28 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(docs, labels, keep=docs.columns).where("predicted = 0").select(*docs.columns)
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """`docs` with __row, the place of each row in its files, which is the same at every reading. Other tables than plain files are stored first."""
+    plain = docs._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation" and docs.inputFiles()
+    files = docs if plain else scratch.stored(docs)
+    return files.select("*", F.concat_ws(":", F.col("_metadata.file_path"), F.col("_metadata.row_index").cast("string")).alias("__row"))
+
+
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the rules keep."""
-    verdicts = quality_rules.quality_rules(docs).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(verdicts, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    """The documents that the rules keep, judged row by row."""
+    rows = _numbered(docs)
+    kept = quality_rules.quality_rules(rows, key="__row").where("kept").select("__row")
+    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones: that with the smallest id. Documents without an id are kept."""
+    """One row of each group of linked ones: that with the smallest id, or without an id if none has one. Blank texts are kept."""
     registry.importable(spark)
-    first = near_join.near_join(docs, n=5, percent=80).where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(first, F.col("doc_id") == F.col("__id"), "left_semi")
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    rows = _numbered(docs)
+    groups = near_join.near_join(rows, key="__row", n=5, percent=80).select("__row", "component_id")
+    named = rows.select("__row", "doc_id").join(groups, "__row")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("first")).select("first.__row")
+    return rows.join(first, "__row", "left_semi").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -368,3 +368,24 @@ def test_pipeline(spark):
 
     packed = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert packed.count() > 0 and packed.agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= 2048
+
+
+def test_pipeline_judges_rows_not_ids(spark, tmp_path):
+    """Repeated rows, rows that share an id, and rows without one."""
+    import corpus_pipeline
+
+    r = random.Random(8)
+    text = lambda: " ".join(f"word{r.randrange(10000)}" for _ in range(80))
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [(1, a), (1, a), (1, "short"), (2, a), (3, b), (3, c), (4, c), (None, b), (None, d), (None, d), (None, "short"), (None, None), (5, e), (5, c)]
+    df = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    few = lambda f: collections.Counter((x.doc_id, x.text) for x in f.collect())
+    ruled = corpus_pipeline.apply_quality_rules(spark, df, "")
+    assert few(ruled) == collections.Counter(x for x in rows if x[1] not in ("short", None))
+    left = corpus_pipeline.drop_near_duplicates(spark, df.where("length(text) > 5 or text is null"), "")
+    assert few(left) == collections.Counter([(1, a), (3, b), (3, c), (None, d), (None, None), (5, e)])
+
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {x.doc_id for x in packed} <= {1, 3, 5, None} and {1, 3, 5} <= {x.doc_id for x in packed}
