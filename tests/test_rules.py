@@ -46,3 +46,18 @@ def test_midrank_ties_and_missing(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("a", 3.0), ("a", None), ("a", float("nan")), (None, 2.0)], "g string, x double")
     got = sorted((str(r.g), str(r.x), r.m) for r in windows.peer_midrank(df, ["g"], "x", "m").collect())
     assert [m for g, x, m in got if g == "a" and x == "1.0"] == [100 / 3, 100 / 3] and [m for g, x, m in got if x in ("None", "nan")] == [None, None]
+
+
+def test_overlay_of_keys_that_one_side_lacks(spark):
+    from prospectra.operators import joins
+
+    base, other = spark.createDataFrame([(1, 10), (2, 20)], "k int, v int"), spark.createDataFrame([(2, None), (3, 30)], "k int, v int")
+    assert sorted(map(tuple, joins.overlay(base, other, ["k"], ["v"]).collect())) == [(1, 10, "base"), (2, 20, "both"), (3, 30, "other")]
+
+
+def test_whole_queries_take_every_id(spark):
+    from prospectra.plans import matching
+
+    root = "/root/testdata/sf0.001"
+    assert {r.candidate for r in matching.comparables_topk_whole(spark, root).select("candidate").distinct().collect()} == {r.p_partkey for r in spark.read.parquet(f"{root}/part.parquet").collect()}
+    assert {r.k for r in matching.overlay_full_outer_whole(spark, root).collect()} == {r[0] for f, c in (("customer", "c_nationkey"), ("supplier", "s_nationkey")) for r in spark.read.parquet(f"{root}/{f}.parquet").select(c).distinct().collect()}
