@@ -55,11 +55,12 @@ def _pairs(texts: pa.Array, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(doc: np.ndarray, bucket: np.ndarray, y: np.ndarray, weights: np.ndarray, kept: int = KEPT, rank: int = RANK, epochs: int = EPOCHS, seed: int = 7) -> Machine:
-    """From distinct pairs of document and bucket. Keeps the buckets that tell the classes apart best."""
-    rate = np.bincount(bucket, (y - np.average(y, weights=weights))[doc], BUCKETS)
+    """From distinct pairs of document and bucket. Keeps the buckets that tell the classes apart best among these rows, whatever their weights."""
+    own = float(np.clip(y.mean(), 1e-3, 1 - 1e-3)) if len(y) else 0.5
+    rate = np.bincount(bucket, (y - own)[doc], BUCKETS)
     seen = np.bincount(bucket, minlength=BUCKETS)
     base = float(np.clip(np.average(y, weights=weights), 1e-3, 1 - 1e-3))
-    power = np.abs(rate) / np.sqrt((seen + 1.0) * base * (1 - base))
+    power = np.abs(rate) / np.sqrt((seen + 1.0) * own * (1 - own))
     power[(seen < 3) | (power < LEAST_POWER)] = 0
     chosen = np.sort(np.argsort(-power, kind="stable")[: min(kept, int((power > 0).sum()))])
     slots = np.full(BUCKETS, -1, np.int32)

@@ -329,6 +329,16 @@ def test_toxicity_learns_pairs():
     assert (p == (y > 0)).mean() > 0.99
 
 
+def test_toxicity_keeps_no_neutral_buckets_of_an_enriched_sample():
+    """Half of the sampled rows are toxic, a tenth of all: a word that is as common in both halves tells nothing."""
+    rng = np.random.default_rng(2)
+    y = np.arange(1200) % 2.0
+    rows = [(i, k) for i in range(1200) for k, on in ((3, y[i]), *[(20 + j, rng.random() < 0.5) for j in range(20)]) if on]
+    doc, bucket = np.array(rows).T
+    m = toxicity.fit(doc, bucket, y, np.where(y > 0, 0.1, 0.9), epochs=5)
+    assert 3 in m.bucket and len(m.bucket) <= 3
+
+
 def labelled_tables(spark):
     r = random.Random(3)
     bad = lambda i: i % 6 == 0
