@@ -34,8 +34,11 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     now = scratch.stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct())
     before = None
+    if now.isEmpty():
+        return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     for _ in range(most_rounds):
-        now = scratch.stored(_small_star(_large_star(now)))
+        last, now = now, scratch.stored(_small_star(_large_star(now)))
+        scratch.drop(last)
         # Equal sums of a hash over all links mean that nothing changed.
         mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if mark == before:

@@ -1,21 +1,24 @@
 """N-gram Jaccard join: documents whose sets of word n-grams overlap enough, by count-vector R-trees.
 
-Shingles are hashed into groups. Two sets that reach the similarity differ in fewer shingles than
-there are groups, so in at least one group they hold just the same shingles: sets that agree in a
-group meet in that group's cell, and no linked pair misses every cell. Each cell indexes its
-members' vectors of group counts in an R-tree. The summed minima of a query's and a node's
-coordinates bound the overlap with everything below the node; what the bound leaves is verified
-with the sets themselves.
-
-Texts with equal sets are one class from the start. In a first pass every class is verified only
-against the leading class of the cells that it shares most with, which joins most copies at once;
-the R-trees then look only for pairs across what is joined so far. Cells of any size are cut into
-blocks, and pairs of blocks are the tasks, so no cell meets in one task.
+Shingles are hashed into groups, and a set's group counts are a point. An R-tree over points has
+the largest coordinates below each node; the summed minima of these and a query's coordinates bound
+the overlap with everything below, so branches that can't reach the similarity are left out, and
+what the bound leaves is verified with the sets themselves.
+
+Trees are local to cells, so that no tree holds all documents. The shingles of a set are put in one
+order, frequent ones last; a pair that reaches the similarity shares one of the first few of both
+(all but the required overlap, and one more), and sets that share one of these meet in its cell: no
+linked pair misses every cell. Texts with equal sets are one class from the start.
+
+First every class goes to the most crowded of its cells only, with its set, and the trees link what
+links there; a task gives a spanning forest, never all pairs. Then the trees of all cells whose
+members are not yet in one component look for pairs across components. Cells of any size are cut
+into blocks, and pairs of blocks that hold several components are the tasks, so no cell meets in
+one task.
 """
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,27 +28,12 @@ from pyspark.sql import functions as F
 
 from prospectra.llm import components, scratch, words
 
-#: Coordinates of a count vector; entries of an R-tree node; members of a block.
-COORDINATES, FAN, BLOCK = 256, 16, 1024
+#: Coordinates of a shipped count vector; entries of an R-tree node; members of a block, and shingles of a block of sets.
+COORDINATES, FAN, BLOCK, BLOCK_SHINGLES = 256, 16, 1024, 4_000_000
 #: Rows up to which a table of keys is broadcast; beyond it the join is shuffled.
 BROADCAST_ROWS = 1_000_000
-
-
-@functools.lru_cache(maxsize=4)
-def levels(percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Least size, number of groups and spare groups of each level of set sizes.
-
-    Two sets of a level, or of it and the one below, that reach the similarity differ in at most
-    `groups - spare - 1` shingles. Spare groups make up for groups that are empty in both sets.
-    """
-    least, groups, spare = [1], [], []
-    while least[-1] < 1 << 40:
-        least.append(max(least[-1] + 1, -(-least[-1] * 3 // 2)))
-        differ = 2 * (least[-1] - 1) * (100 - percent) // (100 + percent)
-        extra = -(-differ // 10) + 2 if differ else 0
-        groups.append(differ + 1 + extra if differ else 0)
-        spare.append(extra)
-    return np.array(least[:-1], np.int64), np.array(groups, np.int64), np.array(spare, np.int64)
+#: Frequent shingles that are told apart, at most; shingles that a task counts at once; the share of texts from which one is frequent.
+FREQUENT, WINDOW, SHARE = 1 << 18, 4_000_000, 1 / 2000
 
 
 def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,38 +57,66 @@ def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     return value, np.searchsorted(owner, np.arange(len(count) + 1))
 
 
-def signatures(hashes: np.ndarray, percent: int) -> np.ndarray:
-    """The cells of a set of ascending hashes: one for each group that isn't empty, at its own level and the next if a partner may be there."""
-    least, groups, spare = levels(percent)
-    size = len(hashes)
-    own = int(np.searchsorted(least, size, side="right")) - 1
-    out = []
-    for level in (own, own + 1):
-        k = int(groups[level])
-        if k == 0 or (level > own and 100 * size < percent * int(least[level])):
-            continue
-        group = ((hashes >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
-        starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-        total = np.add.reduceat(words.mix(hashes), starts)
-        tag = words.mix(group[starts] + np.uint64(level << 40) + np.uint64(1))
-        out.append(words.mix(total ^ tag))
-        if k - len(starts) > spare[level]:  # so many empty groups that a pair may agree in these alone
-            empty = np.setdiff1d(np.arange(k, dtype=np.uint64), group[starts])
-            out.append(words.mix(words.mix(empty + np.uint64(level << 40) + np.uint64(1))))
-    return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
-
-
-def count_vectors(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Counts of each set's shingles in COORDINATES groups."""
+def frequent_shingles(df: DataFrame, text: str, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, ascending, and counts) of shingles that many texts hold, FREQUENT at most.
+
+    They only order shingles: any list gives the same links, a good one keeps cells small.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        docs = size = 0
+
+        def most() -> pa.RecordBatch:
+            kinds, times = np.unique(np.concatenate(held), return_counts=True)
+            keep = times >= max(4, docs * SHARE)
+            return pa.RecordBatch.from_arrays([pa.array(kinds[keep].view(np.int64)), pa.array(times[keep].astype(np.int64))], ["h", "c"])
+
+        for batch in words.slices(batches, "__text"):
+            hashes, _ = shingle_sets(batch.column("__text"), n)
+            held.append(hashes)
+            docs, size = docs + batch.num_rows, size + len(hashes)
+            if size > WINDOW:
+                yield most()
+                held, docs, size = [], 0, 0
+        if held:
+            yield most()
+
+    seen = df.select(F.col(text).cast("string").alias("__text")).mapInArrow(count, "h bigint, c bigint")
+    top = seen.groupBy("h").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "h").limit(FREQUENT).toArrow()
+    hashes = top.column("h").to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], top.column("c").to_numpy()[order]
+
+
+def prefixes(hashes: np.ndarray, ends: np.ndarray, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(cells, ends): the shingles of each set of which a set that reaches the similarity must share one among its own."""
+    size = np.diff(ends)
+    owner = np.repeat(np.arange(len(size)), size)
+    known, counts = frequent
+    level = np.zeros(len(hashes), np.int64)
+    if len(known) and len(hashes):
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        level = np.where(known[at] == hashes, counts[at], 0)
+    order = np.lexsort((hashes, level, owner))
+    take = size - -(-size * percent // 100) + 1
+    take[size == 0] = 0
+    first = np.arange(len(hashes)) - ends[:-1][owner] < take[owner]
+    return hashes[order][first], np.concatenate([[0], np.cumsum(take)])
+
+
+def count_vectors(hashes: np.ndarray, ends: np.ndarray, coordinates: int = COORDINATES) -> np.ndarray:
+    """Counts of each set's shingles in `coordinates` groups."""
     n = len(ends) - 1
     owner = np.repeat(np.arange(n), np.diff(ends))
-    at = (words.mix(hashes) & np.uint64(COORDINATES - 1)).astype(np.int64)
-    return np.bincount(owner * COORDINATES + at, minlength=n * COORDINATES).reshape(n, COORDINATES).astype("<i4")
+    at = (words.mix(hashes) & np.uint64(coordinates - 1)).astype(np.int64)
+    return np.bincount(owner * coordinates + at, minlength=n * coordinates).reshape(n, coordinates).astype("<i4")
 
 
 def _sketches(df: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:
     kind = df.schema[key].dataType.simpleString()
     names = ["key", "t", "n", "h1", "h2", "cells"]
+    frequent = df.sparkSession.sparkContext.broadcast(frequent_shingles(df, text, n))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in words.slices(batches, "__text"):
@@ -111,32 +127,47 @@ def _sketches(df: DataFrame, key: str, text: str, n: int, percent: int) -> DataF
             if len(full):
                 sums[0][full] = np.add.reduceat(words.mix(hashes), ends[:-1][full])
                 sums[1][full] = np.add.reduceat(words.mix(words.mix(hashes) ^ np.uint64(0xA5A5A5A5A5A5A5A5)), ends[:-1][full])
-            cells = [signatures(hashes[ends[d] : ends[d + 1]], percent) if size[d] else np.zeros(0, np.int64) for d in range(len(size))]
-            flat = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(c) for c in cells])]), pa.int32()), pa.array(np.concatenate(cells) if cells else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("__key"), batch.column("__t"), pa.array(size.astype(np.int64)), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), flat], names)
+            cells, cuts = prefixes(hashes, ends, percent, frequent.value)
+            lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(cells.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("__key"), batch.column("__t"), pa.array(size.astype(np.int64)), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), lists], names)
 
     text_of = F.col(text).cast("string")
     narrow = df.select(F.col(key).alias("__key"), F.xxhash64(text_of).alias("__t"), text_of.alias("__text"))
     return narrow.mapInArrow(sketch, f"key {kind}, t bigint, n bigint, h1 bigint, h2 bigint, cells array<bigint>")
 
 
-def _sets(df: DataFrame, wanted: DataFrame, key: str, text: str, n: int, many: bool) -> DataFrame:
-    """(node, n, vector, hashes) of the classes in `wanted` (node, key, t), from their leading texts."""
+def _sets(df: DataFrame, wanted: DataFrame, key: str, text: str, n: int, vectors: bool = False) -> DataFrame:
+    """The columns of `wanted` (key, t, node and others) but the first two, with the hashes of each one's set or its count vector, as bytes.
+
+    Where several rows have the same key and text, each task gives a node once at most.
+    """
     text_of = F.col(text).cast("string")
-    rows = df.select(F.col(key).alias("k"), text_of.alias("__text"), F.xxhash64(text_of).alias("__t"))
-    side = wanted if many else F.broadcast(wanted)
-    found = rows.join(side, F.col("k").eqNullSafe(F.col("key")) & (F.col("__t") == F.col("t"))).select("node", "__text")
+    rows = df.select(F.col(key).alias("__key"), text_of.alias("__text"), F.xxhash64(text_of).alias("__t"))
+    others, made = [c for c in wanted.columns if c not in ("key", "t")], "vector" if vectors else "hashes"
+    side = wanted.select("key", "t", *others)
+    side = side if wanted.count() > BROADCAST_ROWS else F.broadcast(side)
+    found = rows.join(side, F.col("__key").eqNullSafe(F.col("key")) & (F.col("__t") == F.col("t"))).select(*others, "__text")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()
         for batch in words.slices(batches, "__text"):
+            nodes = batch.column("node").to_pylist()
+            new = [i for i, x in enumerate(nodes) if x not in met and not met.add(x)]
+            batch = batch.take(pa.array(new, pa.int64())) if len(new) < len(nodes) else batch
             hashes, ends = shingle_sets(batch.column("__text"), n)
-            vectors = count_vectors(hashes, ends)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), pa.array(np.diff(ends).astype(np.int64)), pa.array([v.tobytes() for v in vectors], pa.binary()), pa.array([hashes[a:b].astype("<u8").tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())],
-                ["node", "n", "vector", "hashes"],
-            )
+            rows = count_vectors(hashes, ends) if vectors else [hashes[a:b].astype("<u8") for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([x.tobytes() for x in rows], pa.binary())], [*others, made])
 
-    return found.mapInArrow(build, "node bigint, n bigint, vector binary, hashes binary").dropDuplicates(["node"])
+    fields = ", ".join(f"{c} {wanted.schema[c].dataType.simpleString()}" for c in others)
+    return found.mapInArrow(build, f"{fields}, {made} binary")
+
+
+def reaches(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    """Whether two sets of hashes reach the similarity."""
+    both = np.concatenate([p, q])
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(both) - common)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -146,13 +177,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                p, q = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                both = np.concatenate([p, q])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= percent * (len(both) - common))
+            keep = [reaches(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), percent) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint")
@@ -162,8 +187,10 @@ class RTree:
     """An R-tree over count vectors, packed by size and then by the widest coordinates, with nodes' largest coordinates and least sizes."""
 
     def __init__(self, vectors: np.ndarray, sizes: np.ndarray):
-        wide = np.argsort(-vectors.std(axis=0), kind="stable")[:3]
-        self.order = np.lexsort((vectors[:, wide[2]], vectors[:, wide[1]], vectors[:, wide[0]] // 2, sizes))
+        self.order = np.arange(len(sizes))
+        if len(sizes) > FAN:
+            wide = np.argsort(-vectors.std(axis=0), kind="stable")[:3]
+            self.order = np.lexsort((vectors[:, wide[2]], vectors[:, wide[1]], vectors[:, wide[0]] // 2, sizes))
         self.vectors, self.sizes = vectors[self.order], sizes[self.order]
         self.upper = []  # from the leaves up: (largest coordinates, least size, largest size)
         top, low, high = self.vectors, self.sizes, self.sizes
@@ -186,42 +213,111 @@ class RTree:
         return self.order[at[(100 + percent) * bound >= percent * (size + self.sizes[at])]]
 
 
-def _searched(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of members (cell, node, root) of a cell with different roots that the R-trees leave, each once."""
-    own = members.groupBy(F.col("node").alias("m")).agg(F.sort_array(F.collect_set("cell")).alias("cells"))
-    counts = members.groupBy(F.col("cell").alias("c")).agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    dealt = members.join(counts, F.col("cell") == F.col("c")).drop("c").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    spread = dealt.select("*", others.alias("other")).select("cell", "node", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    known = sets.select("node", "n", "vector").join(own, F.col("node") == F.col("m")).drop("m")
-    full = spread.join(known, "node")
+def forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links (position, position) that join the sets as all of theirs do: a tree gives each set's candidates, those already joined with it are left out, the rest verified."""
+    size = np.array([len(x) for x in sets])
+    # About two coordinates for each shingle of a middling set keep the bound close to the overlap.
+    coordinates = 1 << int(np.clip(np.ceil(np.log2(2 * np.median(size))), 6, 13))
+    vectors = count_vectors(np.concatenate(sets), np.concatenate([[0], np.cumsum(size)]), coordinates)
+    tree = RTree(vectors, size)
+    root, links = np.arange(len(sets)), []
+    for q in range(len(sets)):
+        got = tree.query(vectors[q], int(size[q]), percent)
+        got = got[got < q]
+        for x in got[np.argsort(-np.minimum(vectors[got], vectors[q]).sum(axis=1), kind="stable")]:
+            if root[x] != root[q] and reaches(sets[x], sets[q], percent):
+                links.append((int(x), q))
+                low, high = sorted((root[x], root[q]))
+                root[root == high] = low
+    return links
+
+
+def _crowded(df: DataFrame, members: DataFrame, classes: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:
+    """Links (a, b) between classes that meet in the most crowded cell of both, from members (cell, node, many, load)."""
+    own = members.groupBy(F.col("node").alias("m")).agg(F.max(F.struct("many", "cell", "load")).alias("c"))
+    blocks = F.ceil(F.greatest(F.col("c.many") / BLOCK, F.col("c.load") / BLOCK_SHINGLES))
+    placed = own.select("m", F.col("c.cell").alias("cell"), F.pmod(F.xxhash64("m"), blocks).alias("block"))
+    met = placed.groupBy(F.col("cell").alias("d"), F.col("block").alias("e")).count().where("count > 1").drop("count")
+    placed = placed.join(met, (F.col("cell") == F.col("d")) & (F.col("block") == F.col("e")), "left_semi")
+    wanted = scratch.stored(classes.join(placed, F.col("node") == F.col("m")).select("key", "t", "node", "cell", "block"))
+
+    def link(table: pa.Table) -> pa.Table:
+        node, hashes = table.column("node").to_numpy(), table.column("hashes").to_pylist()
+        pairs = [np.zeros((0, 2), np.int64)]
+        for at in _segments(table, "cell", "block"):
+            own, first = np.unique(node[at], return_index=True)
+            if len(own) > 1:
+                pairs.append(own[np.array(forest([np.frombuffer(hashes[k], "<u8") for k in at[first]], percent), np.int64).reshape(-1, 2)])
+        found = np.concatenate(pairs)
+        return pa.table({"a": found[:, 0], "b": found[:, 1]})
+
+    bundle = F.pmod(F.xxhash64("cell", "block"), F.lit(-(-wanted.count() // BLOCK) or 1))
+    found = scratch.stored(_sets(df, wanted, key, text, n).withColumn("bundle", bundle).groupBy("bundle").applyInArrow(lambda t: link(t), "a bigint, b bigint"))
+    scratch.drop(wanted)
+    return found
+
+
+def _segments(table: pa.Table, *keys: str) -> list[np.ndarray]:
+    """The places of the rows that agree in `keys`, for each that occurs."""
+    columns = [table.column(k).to_numpy() for k in keys]
+    order = np.lexsort(columns)
+    fresh = np.any([c[order][1:] != c[order][:-1] for c in columns], axis=0)
+    return np.split(order, np.flatnonzero(fresh) + 1)
+
+
+def _blocks(members: DataFrame) -> DataFrame:
+    """(cell, node, root, n, reach, block, i, j): each of `members` (cell, node, root, n, reach) once for every pair of blocks it has to be in.
+
+    A component of over BLOCK members has blocks of its own, which are not paired with each other.
+    """
+    per_root = members.groupBy(F.col("cell").alias("c"), F.col("root").alias("r")).agg(F.count("*").alias("rows"))
+    small = per_root.where(F.col("rows") <= BLOCK).groupBy(F.col("c").alias("d")).agg(F.ceil(F.sum("rows") / BLOCK).alias("blocks"))
+    named = per_root.join(small, F.col("c") == F.col("d"), "left").select("c", "r", F.ceil(F.col("rows") / BLOCK).alias("parts"), "blocks")
+    dealt = members.alias("members").join(named, (F.col("cell") == F.col("c")) & (F.col("root") == F.col("r")))
+    alone = F.when(F.col("parts") > 1, F.col("root"))
+    block = F.when(F.col("parts") > 1, F.xxhash64("root", F.pmod(F.xxhash64("node"), F.col("parts"))).bitwiseOR(F.lit(-(1 << 63)))).otherwise(F.pmod(F.xxhash64("root"), F.col("blocks")))
+    dealt = scratch.stored(dealt.select("cell", "node", "root", "members.n", "reach", block.alias("block"), alone.alias("alone")))
+    all_blocks = dealt.groupBy(F.col("cell").alias("c"), F.col("block").alias("other")).agg(F.first("alone").alias("its")).join(dealt.select(F.col("cell").alias("d")).distinct(), F.col("c") == F.col("d")).drop("d")
+    paired = dealt.join(all_blocks, F.col("cell") == F.col("c")).where(F.col("alone").isNull() | F.col("its").isNull() | (F.col("alone") != F.col("its")))
+    return scratch.stored(paired.select("cell", "node", "root", "n", "reach", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")))
+
+
+def _searched(members: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members (cell, node, root, n, reach) of a cell with different roots that the R-trees leave, each once."""
+    own = members.groupBy(F.col("node").alias("m")).agg(F.sort_array(F.collect_set(F.struct("reach", "cell")), asc=False)["cell"].alias("cells"))
+    spread = _blocks(members)
+    # Small groups share a task: each bundle has about 8 blocks' rows.
+    bundle = F.pmod(F.xxhash64("cell", "i", "j"), F.lit(-(-spread.count() // (8 * BLOCK)) or 1))
+    full = spread.join(vectors.join(own, F.col("node") == F.col("m")).drop("m"), "node").withColumn("bundle", bundle)
 
     def search(table: pa.Table) -> pa.Table:
-        node, root = table.column("node").to_numpy(), table.column("root").to_numpy()
-        size, block = table.column("n").to_numpy(), table.column("block").to_numpy()
+        node, root, size, reach, block = (table.column(c).to_numpy() for c in ("node", "root", "n", "reach", "block"))
         vectors = np.frombuffer(b"".join(table.column("vector").to_pylist()), "<i4").reshape(-1, COORDINATES)
         cells = table.column("cells").combine_chunks()
-        flat, at, here = cells.flatten().to_numpy(), cells.offsets.to_numpy() - cells.offsets[0].as_py(), table.column("cell")[0].as_py()
+        flat, at = cells.flatten().to_numpy(), cells.offsets.to_numpy() - cells.offsets[0].as_py()
+        cell, low, high = (table.column(c).to_numpy() for c in ("cell", "i", "j"))
 
         def first_here(x: int, y: int) -> bool:
-            """Whether this is the first cell that two members share: a pair comes from one cell only."""
-            both = np.intersect1d(flat[at[x] : at[x + 1]], flat[at[y] : at[y + 1]], assume_unique=True)
-            return both[0] == here
-
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        inner, outer = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        pairs = []
-        if len(inner) and len(outer) and (root != root[0]).any():
+            """Whether this is the first cell in the order of shingles that two members share: a pair comes from one cell only."""
+            mine = flat[at[x] : at[x + 1]]
+            return mine[np.isin(mine, flat[at[y] : at[y + 1]], assume_unique=True)][0] == cell[x]
+
+        pairs = [np.zeros((0, 2), np.int64)]
+        for rows in _segments(table, "cell", "i", "j"):
+            i, j = low[rows[0]], high[rows[0]]
+            inner, outer = rows[block[rows] == i], rows[block[rows] == j]
+            if not len(inner) or not len(outer) or (root[rows] == root[rows[0]]).all():
+                continue
             tree = RTree(vectors[inner], size[inner])
             for q in outer:
                 got = inner[tree.query(vectors[q], int(size[q]), percent)]
-                got = got[(root[got] != root[q]) & ((node[got] < node[q]) if i == j else np.ones(len(got), bool))]
+                got = got[(root[got] != root[q]) & (size[got] <= reach[q]) & (size[q] <= reach[got]) & ((node[got] < node[q]) if i == j else np.ones(len(got), bool))]
                 got = got[[first_here(x, q) for x in got]] if len(got) else got
                 pairs.append(np.column_stack([np.minimum(node[got], node[q]), np.maximum(node[got], node[q])]))
-        found = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pa.array(found[:, 0], pa.int64()), "b": pa.array(found[:, 1], pa.int64())})
+        found = np.concatenate(pairs)
+        return pa.table({"a": found[:, 0], "b": found[:, 1]})
 
-    return full.groupBy("cell", "i", "j").applyInArrow(lambda t: search(t), "a bigint, b bigint")
+    return full.groupBy("bundle").applyInArrow(lambda t: search(t), "a bigint, b bigint")
 
 
 def near_join(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
@@ -233,30 +329,42 @@ def near_join(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 4
     nothing. Rows with a null key take part, and get the smallest key of their component, or null.
     Keys may be repeated; other columns are not read. An empty table gives no rows.
     """
-    sketches = scratch.stored(_sketches(df, key, text, n, percent))
-    lead = F.struct(F.col("key").isNull().alias("none"), "key", "t")
-    classes = scratch.stored(sketches.where("n > 0").groupBy("h1", "h2").agg(F.min(lead).alias("lead")).select("h1", "h2", "lead.key", "lead.t", F.monotonically_increasing_id().alias("node")))
-    many = classes.count() > BROADCAST_ROWS
-    leads = classes.select(F.col("key").alias("k"), F.col("t").alias("u"), "node")
-    led = sketches.join(leads if many else F.broadcast(leads), F.col("key").eqNullSafe(F.col("k")) & (F.col("t") == F.col("u")))
-    rows = led.select("node", F.explode("cells").alias("cell"))
-    shared = rows.groupBy(F.col("cell").alias("c")).agg(F.min("node").alias("first"), F.max("node").alias("last")).where(F.col("first") < F.col("last")).select("c", "first")
-    members = scratch.stored(rows.join(shared, F.col("cell") == F.col("c")).select("cell", "node", "first").distinct())
-    nodes = scratch.stored(members.select("node").distinct())
-    needed = nodes.join(classes.select("node", "key", "t"), "node")
-    sets = scratch.stored(_sets(df, needed, key, text, n, nodes.count() > BROADCAST_ROWS))
-    met = members.where("node != first").groupBy("node", "first").count()
-    nearest = met.groupBy("node").agg(F.max(F.struct("count", (-F.col("first")).alias("f"))).alias("m")).select((-F.col("m.f")).alias("a"), F.col("node").alias("b"))
-    links = scratch.stored(_verified(nearest, sets, percent))
+    sketches = scratch.stored(_sketches(df, key, text, n, percent).withColumn("row", F.monotonically_increasing_id()))
+    lead = F.struct(F.col("key").isNull().alias("none"), "key", "t", "row")
+    classes = scratch.stored(sketches.where("n > 0").groupBy("h1", "h2").agg(F.min(lead).alias("lead")).select("h1", "h2", "lead.key", "lead.t", F.col("lead.row").alias("node")))
+    leads = classes.select("node")
+    leads = leads if classes.count() > BROADCAST_ROWS else F.broadcast(leads)
+    # reach: the largest partner that may share enough if this shingle is the first that both share.
+    rows = sketches.join(leads, F.col("row") == F.col("node")).select("node", "n", F.posexplode("cells").alias("pos", "cell"))
+    rows = rows.select("cell", "node", F.col("n").cast("int").alias("n"), F.expr(f"cast(((n - pos) * {100 + percent}) div {percent} - n as int)").alias("reach"))
+    shared = rows.groupBy(F.col("cell").alias("c")).agg(F.count("*").alias("many"), F.sum("n").alias("load"), F.max("reach").alias("most")).where("many > 1")
+    met = rows.join(shared, F.col("cell") == F.col("c")).where("n <= most and (many > 2 or load - n <= reach)")
+    members = scratch.stored(met.select("cell", "node", "n", "reach", "many", "load"))
+    links = _crowded(df, members, classes, key, text, n, percent)
+    roots = components.components(links)
+    placed = members.join(roots, "node", "left").select("cell", "node", "n", "root")
+    # The blocks of a large cell give a component each: one member of each stands for it.
+    stands = placed.where("root is not null").groupBy("cell", "root").agg(F.min(F.struct("node", "n")).alias("s")).select("cell", "s.*")
+    several = stands.groupBy(F.col("cell").alias("c")).agg(F.count("*").alias("many"), F.sum("n").alias("load")).where("many > 1")
+    standing = scratch.stored(stands.join(several, F.col("cell") == F.col("c")).drop("c", "n"))
+    links = scratch.stored(links.unionByName(_crowded(df, standing, classes, key, text, n, percent)))
     roots = components.components(links)
-    placed = members.join(roots, "node", "left").select("cell", "node", F.coalesce("root", "node").alias("root"))
+    placed = members.join(roots, "node", "left").select("cell", "node", "n", "reach", F.coalesce("root", "node").alias("root"))
     mixed = placed.groupBy(F.col("cell").alias("c")).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("c")
     open_cells = scratch.stored(placed.join(mixed, F.col("cell") == F.col("c"), "left_semi"))
-    pairs = scratch.stored(_searched(open_cells, sets, percent))
-    more = _verified(pairs, sets, percent)
+    named = classes.select("node", "key", "t")
+    needed = scratch.stored(named.join(open_cells.select("node").distinct(), "node"))
+    vectors = scratch.stored(_sets(df, needed, key, text, n, vectors=True).dropDuplicates(["node"]))
+    pairs = scratch.stored(_searched(open_cells, vectors, percent))
+    asked = scratch.stored(named.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node"))
+    sets = scratch.stored(_sets(df, asked, key, text, n).dropDuplicates(["node"]))
+    more = scratch.stored(_verified(pairs, sets, percent))
+    scratch.drop(members, standing, open_cells, needed, vectors, pairs, asked, sets)
     joined = components.components(links.unionByName(more))
     named = classes.join(joined, "node", "left").select("h1", "h2", "key", F.coalesce("root", "node").alias("root"))
     smallest = named.groupBy(F.col("root").alias("r")).agg(F.min("key").alias("component_id"))
     of_class = named.join(smallest, F.col("root") == F.col("r")).select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "component_id")
-    done = sketches.select("key", "n", "h1", "h2").join(of_class, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")) & (F.col("n") > 0), "left")
-    return done.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key")).alias("component_id"))
+    full = sketches.where("n > 0").select("key", "n", "h1", "h2").join(of_class, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")))
+    blank = sketches.where("n = 0").select("key", "n", F.col("key").alias("component_id"))
+    done = full.select("key", "n", "component_id").unionByName(blank)
+    return done.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id")

@@ -7,13 +7,18 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The attribute of a stored table that names its folder, and the folder of a local session.
+_PLACE = "_prospectra_place"
+_LOCAL: dict[str, str] = {}
+
 
 def folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; only where that is unset, as in tests, a folder of this machine."""
+    """The cluster's spark.checkpoint.dir. Only a local session may leave it unset, as in tests, and gets a folder of this machine."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
-        place = f"file://{tempfile.mkdtemp(prefix='prospectra-')}"
-        spark.conf.set("spark.checkpoint.dir", place)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        place = _LOCAL.setdefault("folder", f"file://{tempfile.mkdtemp(prefix='prospectra-')}")
     return place.rstrip("/")
 
 
@@ -25,4 +30,16 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    setattr(back, _PLACE, path)
+    return back
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes stored tables. What is returned or will run later must not read them, so that it can be computed again."""
+    for table in tables:
+        path = getattr(table, _PLACE, None)
+        if path is not None:
+            spark = table.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

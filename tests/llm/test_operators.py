@@ -73,6 +73,41 @@ def test_near_join_without_broadcasts_and_with_small_blocks(documents, monkeypat
     assert sorted(map(tuple, near_join.near_join(documents).collect()), key=str) == want
 
 
+def test_near_join_of_small_sets_at_low_similarities(spark):
+    """A set inside one of twice its size, and others of 7 to 20 shingles, at 50 and 60 percent."""
+    r = random.Random(11)
+    rows, want = [], {}
+    for k in range(60):
+        base = [f"a{k}w{i}" for i in range(r.randint(7, 20))]
+        rows.append((2 * k, " ".join(base)))
+        rows.append((2 * k + 1, " ".join(base[: r.randint(1, len(base))] + [f"b{k}w{i}" for i in range(r.randint(0, 6))])))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for percent in (50, 60):
+        sets = [set(t.split()) for _, t in rows]
+        got = {x.doc_id: x.component_id for x in near_join.near_join(df, n=1, percent=percent).collect()}
+        for k in range(0, 120, 2):
+            linked = 100 * len(sets[k] & sets[k + 1]) >= percent * len(sets[k] | sets[k + 1])
+            assert (got[k], got[k + 1]) == (k, k if linked else k + 1)
+
+
+def test_near_join_of_a_large_group_that_hardly_links(spark, monkeypatch):
+    """Copies of one text that each differ from it by little but from each other by too much, in blocks of 16."""
+    monkeypatch.setattr(near_join, "BLOCK", 16)
+    r = random.Random(12)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(f"x{i}" if j in cut else w for j, w in enumerate(base))) for i in range(100) for cut in [set(r.sample(range(60), 2 + i % 3))]]
+    sets = [frozenset(tuple(t.split()[i : i + 4]) for i in range(57)) for _, t in rows]
+    label = list(range(100))
+    for i, j in itertools.combinations(range(100), 2):
+        if 100 * len(sets[i] & sets[j]) >= 70 * len(sets[i] | sets[j]):
+            a, b = sorted((label[i], label[j]))
+            label = [a if x == b else x for x in label]
+    assert 1 < len(set(label)) < 100
+    df = spark.createDataFrame(rows + rows[:9] * 3, "doc_id bigint, text string")
+    got = near_join.near_join(df, percent=70).collect()
+    assert {x.doc_id: x.component_id for x in got} == dict(enumerate(label)) and len(got) == 127
+
+
 def test_rtree_finds_all_that_the_bound_leaves():
     rng = np.random.default_rng(0)
     vectors = rng.poisson(0.5, (300, near_join.COORDINATES))
