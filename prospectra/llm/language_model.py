@@ -44,7 +44,7 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _squeezed(values: np.ndarray) -> bytes:
     """Bytes of an array, those of equal significance together, compressed."""
     raw = np.ascontiguousarray(values)
-    return pa.compress(np.ascontiguousarray(raw.view(np.uint8).reshape(len(raw), raw.itemsize).T).tobytes(), codec="zstd", asbytes=True)
+    return pa.Codec("zstd", compression_level=9).compress(np.ascontiguousarray(raw.view(np.uint8).reshape(len(raw), raw.itemsize).T).tobytes(), asbytes=True)
 
 
 def _restored(data: bytes, kind: str, size: int) -> np.ndarray:
@@ -89,7 +89,7 @@ def _with_rare_counts(rows: DataFrame, counts: DataFrame, head: DataFrame, known
             take = pa.array(d[fresh])
             yield pa.RecordBatch.from_arrays([batch.column("a").take(take), batch.column("b").take(take), pa.array(t[fresh].view(np.int64))], ["a", "b", "token"])
 
-    named = rows.withColumn("a", F.xxhash64("__text")).withColumn("b", F.xxhash64("__text", F.lit(1)))
+    named = rows.withColumn("a", F.xxhash64("__text")).withColumn("b", F.xxhash64(F.lit(1), "__text"))
     asked = named.select("a", "b", "__text").mapInArrow(ask, "a bigint, b bigint, token bigint").distinct()
     tail = counts.join(head.select("token"), "token", "left_anti")
     given = asked.join(tail, "token").groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("token", "count"))).alias("__given"))
@@ -121,7 +121,7 @@ def _blocks(rows: DataFrame, kind: str, known, total: int, distinct: int, bucket
             empty = pa.nulls(n, pa.binary())
             spread = (words.mix(ids.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(spread), pa.array(np.full(n, ids[0] if n else 0)), pa.array(ids[:, None].tolist(), pa.list_(pa.int64())), batch.column("__key"), batch.column("__train"), *[pa.array(x) for x in info], *[empty] * 6, pa.array(np.zeros(n, np.int32))], names
+                [pa.array(spread), pa.array(np.full(n, ids[0] if n else 0)), batch.column("__row"), batch.column("__key"), batch.column("__train"), *[pa.array(x) for x in info], *[empty] * 7, *[pa.array(np.zeros(n, np.int32))] * 2], names
             )
             pair = words.mix(words.mix(context) + token)
             home = ((pair >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
@@ -130,12 +130,12 @@ def _blocks(rows: DataFrame, kind: str, known, total: int, distinct: int, bucket
             edges = np.searchsorted(home[first], np.arange(buckets + 1))
             order = np.argsort(home, kind="stable")  # by bucket, then by document
             cuts = np.searchsorted(home[order], np.arange(buckets + 1))
-            out: list[list] = [[] for _ in range(9)]
+            out: list[list] = [[] for _ in range(10)]
             for b in np.flatnonzero(np.diff(cuts)):
                 at, lo, hi = order[cuts[b] : cuts[b + 1]], edges[b], edges[b + 1]
                 docs, uses = np.unique(doc[at], return_counts=True)
                 out[0].append(int(b))
-                out[1].append(ids[docs])
+                out[1].append(_squeezed((ids[docs] - ids[0]).astype("<u8")))
                 # By context count and then ascending: both, as steps, take fewer bytes.
                 own = np.lexsort((types[lo:hi], cv[first[lo:hi]]))
                 place = np.empty(len(own), "<u4")
@@ -145,38 +145,53 @@ def _blocks(rows: DataFrame, kind: str, known, total: int, distinct: int, bucket
                 for k, x in enumerate((steps, seen[lo:hi][own], cv[of_first], cw[of_first], place[of[at] - lo], uses.astype("<u4"))):
                     out[2 + k].append(_squeezed(x))
                 out[8].append(int(hi - lo))
+                out[9].append(len(docs))
             m = len(out[0])
-            blank = [pa.nulls(m, batch.column("__key").type), pa.nulls(m, pa.bool_()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64())]
+            blank = [pa.nulls(m, pa.int64()), pa.nulls(m, batch.column("__key").type), pa.nulls(m, pa.bool_()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64())]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.int32()), pa.array(np.full(m, ids[0] if n else 0)), pa.array(out[1], pa.list_(pa.int64())), *blank, *[pa.array(x, pa.binary()) for x in out[2:8]], pa.array(out[8], pa.int32())], names
+                [pa.array(out[0], pa.int32()), pa.array(np.full(m, ids[0] if n else 0)), *blank, *[pa.array(x, pa.binary()) for x in out[1:8]], pa.array(out[8], pa.int32()), pa.array(out[9], pa.int32())], names
             )
 
-    names = ["bucket", "slice", "rows", "key", "train", "n_tokens", "n_known", "base", "types", "seen", "cv", "cw", "refs", "uses", "size"]
-    schema = f"bucket int, slice bigint, rows array<bigint>, key {kind}, train boolean, n_tokens bigint, n_known bigint, base double, types binary, seen binary, cv binary, cw binary, refs binary, uses binary, size int"
+    names = ["bucket", "slice", "row", "key", "train", "n_tokens", "n_known", "base", "rows", "types", "seen", "cv", "cw", "refs", "uses", "size", "docs"]
+    schema = f"bucket int, slice bigint, row bigint, key {kind}, train boolean, n_tokens bigint, n_known bigint, base double, rows binary, types binary, seen binary, cv binary, cw binary, refs binary, uses binary, size int, docs int"
     return rows.mapInArrow(pack, schema)
 
 
-def _counted(blocks: DataFrame) -> DataFrame:
-    """Replaces the blocks' bigrams by their counts over all training texts."""
+def _counted(blocks: DataFrame, total: int) -> DataFrame:
+    """The blocks with their bigrams' counts over all training texts, as `pairs`, in place of `types` and `seen`.
+
+    Each bucket adds a row of its training occurrences for the weights: in `rows`, the bin of the
+    context and the grid cell of both estimates from the counts without the occurrence; in `uses`,
+    how many occurrences are there.
+    """
 
     def count(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         size = table.column("size").to_numpy()
-        packed = table.column("types").to_pylist()
+        packed, seen_in, cvs, cws = (table.column(c).to_pylist() for c in ("types", "seen", "cv", "cw"))
         full = [i for i in range(len(size)) if packed[i] is not None]
         new: list[bytes | None] = [None] * len(size)
+        cells, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if full:
-            seen = table.column("seen").to_pylist()
             types = np.concatenate([np.cumsum(_restored(packed[i], "<u8", int(size[i])), dtype=np.uint64) for i in full])
+            seen = np.concatenate([_restored(seen_in[i], "<i8", int(size[i])) for i in full])
             kinds, of = np.unique(types, return_inverse=True)
-            total = np.bincount(of, np.concatenate([_restored(seen[i], "<i8", int(size[i])) for i in full]), len(kinds)).astype(np.int64)[of]
+            pairs = np.bincount(of, seen, len(kinds)).astype(np.int64)[of]
             at = 0
             for i in full:
-                new[i] = _squeezed(total[at : at + size[i]])
+                new[i] = _squeezed(pairs[at : at + size[i]])
                 at += int(size[i])
-        return table.set_column(table.column_names.index("types"), "types", pa.array(new, pa.binary()))
+            cv, cw = (np.concatenate([_restored(x[i], "<i8", int(size[i])) for i in full]) for x in (cvs, cws))
+            use = seen > 0
+            cells, of = np.unique(_cell(pairs[use], cv[use], cw[use], total), return_inverse=True)
+            times = np.bincount(of, seen[use], len(cells)).astype(np.int64)
+        table = table.drop_columns(["types", "seen"]).append_column("pairs", pa.array(new, pa.binary()))
+        blank = {f.name: None for f in table.schema} | {"bucket": -1, "rows": _squeezed(cells), "uses": _squeezed(times), "size": len(cells)}
+        return pa.concat_tables([table, pa.Table.from_pylist([blank], table.schema)])
 
-    return blocks.groupBy("bucket").applyInArrow(lambda t: count(t), blocks.schema)
+    kept = [f for f in blocks.schema.fields if f.name not in ("types", "seen")]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept) + ", pairs binary"
+    return blocks.groupBy("bucket").applyInArrow(lambda t: count(t), schema)
 
 
 def _bin(cv: np.ndarray) -> np.ndarray:
@@ -188,22 +203,21 @@ def _grid(p: np.ndarray) -> np.ndarray:
     return np.where(p > 0, np.round(np.log2(np.maximum(p, 1e-300)) * GRID), 1).astype(np.int64)
 
 
-def _deleted(counted: DataFrame, total: int) -> DataFrame:
-    """Training occurrences by bin of the context and grid cell of both estimates from the counts without the occurrence."""
+def _cell(pairs: np.ndarray, cv: np.ndarray, cw: np.ndarray, total: int) -> np.ndarray:
+    """Bin of the context and grid cell of the two estimates without the occurrence, in one number."""
+    p2, p1 = (pairs - 1) / np.maximum(cv - 1, 1), (cw - 1) / max(total - 1, 1)
+    return (_bin(cv) << 40) + ((_grid(p2) + (1 << 15)) << 20) + (_grid(p1) + (1 << 15))
+
+
+def _deleted(counted: DataFrame) -> DataFrame:
+    """Training occurrences by cell, of which there are few whatever the input's size."""
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                n = row["size"]
-                seen, cvw, cv, cw = (_restored(row[k], "<i8", n) for k in ("seen", "types", "cv", "cw"))
-                use = seen > 0
-                seen, cvw, cv, cw = seen[use], cvw[use], cv[use], cw[use]
-                p2, p1 = (cvw - 1) / np.maximum(cv - 1, 1), (cw - 1) / max(total - 1, 1)
-                key = (_bin(cv) << 40) + ((_grid(p2) + (1 << 15)) << 20) + (_grid(p1) + (1 << 15))
-                kinds, of = np.unique(key, return_inverse=True)
-                yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(np.bincount(of, seen, len(kinds)).astype(np.int64))], ["cell", "n"])
-
-    packed = counted.where("types is not null").select("size", "seen", "types", "cv", "cw")
+                yield pa.RecordBatch.from_arrays([pa.array(_restored(row[k], "<i8", row["size"])) for k in ("rows", "uses")], ["cell", "n"])
+
+    packed = counted.where("bucket = -1").select("size", "rows", "uses")
     return packed.mapInArrow(cells, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
 
 
@@ -224,28 +238,33 @@ def mixture_weights(cell: np.ndarray, n: np.ndarray, distinct: int, steps: int =
     return weights
 
 
+def mixed(weights: np.ndarray, pairs: np.ndarray, cv: np.ndarray, cw: np.ndarray, total: int, distinct: int) -> np.ndarray:
+    """The model's probability of tokens, from the counts of the pair, of what stands before and of the token; a token never met is one more kind."""
+    lam = weights[_bin(cv)]
+    return lam[:, 0] * pairs / np.maximum(cv, 1) + lam[:, 1] * cw / max(total, 1) + lam[:, 2] / (distinct + 1)
+
+
 def _scored(counted: DataFrame, weights: np.ndarray, total: int, distinct: int) -> DataFrame:
     """(row, score) of every text: blocks give packed parts, which each slice of texts adds up."""
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums = []
+            rows, sums = [], []
             for row in batch.to_pylist():
-                n, size = row["size"], len(row["rows"])
-                cvw, cv, cw = (_restored(row[k], "<i8", n) for k in ("types", "cv", "cw"))
+                n, size = row["size"], row["docs"]
+                pairs, cv, cw = (_restored(row[k], "<i8", n) for k in ("pairs", "cv", "cw"))
                 uses = _restored(row["uses"], "<u4", size)
                 refs = _restored(row["refs"], "<u4", int(uses.sum()))
-                lam = weights[_bin(cv)]
-                p = lam[:, 0] * cvw / np.maximum(cv, 1) + lam[:, 1] * cw / max(total, 1) + lam[:, 2] / (distinct + 1)
-                sums.append(np.bincount(np.repeat(np.arange(size), uses), np.log10(p)[refs], size))
-            yield pa.RecordBatch.from_arrays([batch.column("slice"), batch.column("rows"), pa.array(sums, pa.list_(pa.float64()))], ["slice", "rows", "parts"])
+                rows.append(_restored(row["rows"], "<u8", size).astype(np.int64))
+                sums.append(np.bincount(np.repeat(np.arange(size), uses), np.log10(mixed(weights, pairs, cv, cw, total, distinct))[refs], size))
+            yield pa.RecordBatch.from_arrays([batch.column("slice"), pa.array(rows, pa.list_(pa.int64())), pa.array(sums, pa.list_(pa.float64()))], ["slice", "rows", "parts"])
 
     def add(table: pa.Table) -> pa.Table:
         rows = table.column("rows").combine_chunks().flatten().to_numpy()
         kinds, of = np.unique(rows, return_inverse=True)
-        return pa.table({"row": kinds, "score": np.bincount(of, table.column("parts").combine_chunks().flatten().to_numpy(), len(kinds))})
+        return pa.table({"row": kinds + table.column("slice")[0].as_py(), "score": np.bincount(of, table.column("parts").combine_chunks().flatten().to_numpy(), len(kinds))})
 
-    packed = counted.where("types is not null").select("slice", "rows", "types", "cv", "cw", "refs", "uses", "size")
+    packed = counted.where("pairs is not null").select("slice", "rows", "pairs", "cv", "cw", "refs", "uses", "size", "docs")
     return packed.mapInArrow(parts, "slice bigint, rows array<bigint>, parts array<double>").groupBy("slice").applyInArrow(lambda t: add(t), "row bigint, score double")
 
 
@@ -272,9 +291,12 @@ def score_texts(df: DataFrame, key: str = "doc_id", text: str = "text", folds: i
     known = spark.sparkContext.broadcast((keys[order], top.column("count").to_numpy()[order]))
     buckets = max(1, math.ceil(total / BUCKET_TOKENS))
     rows = _with_rare_counts(source, counts, head, known) if rare else source
-    counted = scratch.stored(_counted(_blocks(rows, kind, known, total, distinct, buckets, rare)))
-    cells = _deleted(counted, total).toArrow()
+    counted = scratch.stored(_counted(_blocks(rows, kind, known, total, distinct, buckets, rare), total))
+    scratch.drop(counts, head)
+    cells = _deleted(counted).toArrow()
+    order = np.argsort(cells.column("cell").to_numpy())  # sums of floats depend on the order
+    cells = cells.take(order)
     weights = mixture_weights(cells.column("cell").to_numpy(), cells.column("n").to_numpy(), distinct)
-    texts = counted.where("types is null").select(F.col("rows")[0].alias("row"), "key", "train", "n_tokens", "n_known", "base")
+    texts = counted.where("row is not null").select("row", "key", "train", "n_tokens", "n_known", "base")
     done = texts.join(_scored(counted, weights, total, distinct), "row")
     return done.select(F.col("key").alias(key), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")

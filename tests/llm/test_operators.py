@@ -142,12 +142,31 @@ def test_language_model_base_and_shuffled_counts(documents, empty):
     assert language_model.score_texts(empty).count() == 0
 
 
-def test_language_model_is_a_distribution(spark):
-    rows = [(i, t) for i, t in enumerate(["a b a c", "a b b", "c a b", "b a"] * 5)]
-    probe = [(1000 + i, t) for i, t in enumerate(["a", "b", "c", "", "q"])]
-    df = spark.createDataFrame(rows + probe, "doc_id bigint, text string")
-    held = [r for r in language_model.score_texts(df).collect() if r.doc_id >= 1000 and r.n_tokens == 1]
-    assert held and all(-10 < r.score < 0 for r in held)
+def test_language_model_equals_a_plain_mixture(spark):
+    """The score of every text, from counters of tokens and bigrams and the mixture's own definition; over all tokens it sums to one."""
+    rows = [(i, t) for i, t in enumerate(["a b a c", "a b b", "c a b", "b a", "", None, "q a b r"] * 12)]
+    got = collections.defaultdict(list)
+    for r in language_model.score_texts(spark.createDataFrame(rows, "doc_id bigint, text string")).collect():
+        got[r.doc_id].append(r.score)
+    tokens = {k: [w.lower() for w in (t or "").split()] + ["</s>"] for k, t in rows}
+    train = [t for k, t in tokens.items() if zlib.crc32(str(k).encode()) % 5 != 1]
+    one, two = collections.Counter(w for t in train for w in t), collections.Counter(x for t in train for x in zip(["</s>", *t], t))
+    n, v = sum(one.values()), len(one)
+    occurrences = [x for t in train for x in zip(["</s>", *t], t)]
+    count = lambda x: (np.array([two[x]]), np.array([one[x[0]]]), np.array([one[x[1]]]))
+    cells = collections.Counter(int(language_model._cell(*count(x), n)[0]) for x in occurrences)
+    keys = sorted(cells)
+    weights = language_model.mixture_weights(np.array(keys), np.array([cells[k] for k in keys]), v)
+
+    def p(x):
+        a, b, c = weights[min(one[x[0]].bit_length(), language_model.CONTEXTS - 1)]
+        return a * two[x] / max(one[x[0]], 1) + b * one[x[1]] / n + c / (v + 1)
+
+    for k, t in tokens.items():
+        assert got[k] == [pytest.approx(sum(math.log10(p(x)) for x in zip(["</s>", *t], t)), rel=1e-9)]
+    for before in [*one, "never met"]:
+        # Where a context was not met, all its weight is on the other two.
+        assert sum(p((before, w)) for w in [*one, "another"]) == pytest.approx(1, abs=1e-9)
 
 
 def test_language_model_tells_bigrams_with_close_hashes_apart(spark):
@@ -222,7 +241,7 @@ def test_vectors_equal_brute_force(spark):
     unit = np.array(x) / np.linalg.norm(x, axis=1, keepdims=True)
     near = unit @ unit.T >= 0.95
     near |= near.T
-    label = vector_dedup._roots(near & ~np.eye(len(x), dtype=bool))
+    label = vector_dedup.joined(*np.nonzero(near), len(x))
     for i in range(len(x)):
         null_copy = int(near[i, 0])
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (near[i].sum() - 1 + null_copy, label[i], label[i] == i)
@@ -234,7 +253,8 @@ def test_vectors_equal_brute_force(spark):
 
 def test_vectors_in_many_cells_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(vector_dedup, "PER_CELL", 10)
-    monkeypatch.setattr(vector_dedup, "BLOCK", 8)
+    monkeypatch.setattr(vector_dedup, "BLOCK_BYTES", 256)
+    monkeypatch.setattr(vector_dedup, "TILE", 5)
     rng = np.random.default_rng(5)
     x = rng.normal(size=(150, 4))
     df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id bigint, embedding array<double>")
@@ -242,7 +262,24 @@ def test_vectors_in_many_cells_and_blocks(spark, monkeypatch):
     near = (unit @ unit.T >= 0.95) & ~np.eye(150, dtype=bool)
     got = {r.vec_id: r for r in vector_dedup.near_vectors(df).collect()}
     assert [got[i].n_links for i in range(150)] == near.sum(axis=1).tolist()
-    assert [got[i].component_id for i in range(150)] == vector_dedup._roots(near).tolist()
+    assert [got[i].component_id for i in range(150)] == vector_dedup.joined(*np.nonzero(near), 150).tolist()
+
+
+def test_vectors_of_many_dimensions_and_two_lengths(spark, monkeypatch):
+    """Noise with planted neighbours just above the similarity: recall, and few copies of each vector."""
+    monkeypatch.setattr(vector_dedup, "PER_CELL", 40)
+    rng = np.random.default_rng(9)
+    unit = lambda a: a / np.linalg.norm(a, axis=1, keepdims=True)
+    base = unit(rng.normal(size=(1500, 64)))
+    x = unit(np.concatenate([base, base[:500] + 0.3 * unit(rng.normal(size=(500, 64)))]))
+    near = (x @ x.T >= 0.95) & ~np.eye(2000, dtype=bool)
+    rows = [(i, v) for i, v in enumerate(x.tolist())] + [(5000 + i, v[:7]) for i, v in enumerate(x[:3].tolist() * 2)]
+    got = {r.vec_id: r for r in vector_dedup.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()}
+    assert sum(got[i].n_links for i in range(2000)) >= 0.98 * near.sum() >= 900
+    assert all(got[i].n_links <= near[i].sum() for i in range(2000))
+    assert [got[5000 + i].component_id for i in range(6)] == [5000, 5001, 5002] * 2
+    cells = vector_dedup.cells_of(x, vector_dedup.spherical_kmeans(x, 50), vector_dedup.reach(0.95, 64))
+    assert sum(map(len, cells)) <= 6 * len(x)
 
 
 def test_perspectives(spark):
