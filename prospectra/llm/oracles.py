@@ -11,16 +11,16 @@ WITH m AS (
   FROM conversations),
 s AS (SELECT DISTINCT conv_id, role AS speaker FROM m WHERE role <> 'system'),
 r AS (
-  SELECT m.conv_id, s.speaker, m.turn, CAST(floor(m.turn / 64) AS BIGINT) AS part, m.role = s.speaker AS own, m.said,
+  SELECT m.conv_id, s.speaker, m.turn, m.role = s.speaker AS own, m.said,
          '<|im_start|>' || CASE WHEN m.role = 'system' THEN 'system' WHEN m.role = s.speaker THEN 'assistant'
-           ELSE 'user name=' || regexp_replace(m.role, '[^A-Za-z0-9_-]', '_', 'g') END || chr(10) || m.said || '<|im_end|>' || chr(10) AS piece
+           ELSE 'user name=' || replace(url_encode(m.role), '%20', '+') END || chr(10) || m.said || '<|im_end|>' || chr(10) AS piece
   FROM m JOIN s ON m.conv_id = s.conv_id),
-e AS (SELECT *, CAST(sum(length(piece)) OVER (PARTITION BY conv_id, speaker, part ORDER BY turn ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto FROM r)
-SELECT conv_id, speaker, part, CAST(0 AS INTEGER) AS slice, count(*) AS n_messages,
+e AS (SELECT *, CAST(sum(length(piece)) OVER (PARTITION BY conv_id, speaker ORDER BY turn ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto FROM r)
+SELECT conv_id, speaker, CAST(0 AS BIGINT) AS part, count(*) AS n_messages,
        CAST(sum(CASE WHEN own THEN 1 ELSE 0 END) AS BIGINT) AS n_own, string_agg(piece, '' ORDER BY turn) AS rendered,
        coalesce(string_agg(CASE WHEN own THEN (upto - length(said) - 11) || ':' || (upto - 1) END, ',' ORDER BY turn), '') AS spans,
        CAST(sum(CASE WHEN own THEN length(said) + 10 ELSE 0 END) AS BIGINT) AS n_learned
-FROM e GROUP BY conv_id, speaker, part
+FROM e GROUP BY conv_id, speaker
 """
 
 SQL["op10_mixing"] = """

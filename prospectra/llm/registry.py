@@ -59,10 +59,13 @@ def op7_embedding_near_dedup(spark: SparkSession, root: str) -> DataFrame:
     return vector_dedup.near_vectors(_table(spark, root, "embeddings"))
 
 
+def shown_spans(rotated: DataFrame) -> DataFrame:
+    """Perspectives with their spans as text."""
+    return rotated.withColumn("spans", F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["stop"].cast("string"))), ","))
+
+
 def op8_chat_formatting(spark: SparkSession, root: str) -> DataFrame:
-    shown = chat.perspectives(_table(spark, root, "conversations"))
-    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["stop"].cast("string"))), ",")
-    return shown.withColumn("spans", spans)
+    return shown_spans(chat.perspectives(_table(spark, root, "conversations")))
 
 
 def op9_quality_rules(spark: SparkSession, root: str) -> DataFrame:

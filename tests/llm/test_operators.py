@@ -283,17 +283,34 @@ def test_vectors_of_many_dimensions_and_two_lengths(spark, monkeypatch):
 
 
 def test_perspectives(spark):
-    rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi <|im_end|>"), (1, 2, "bob b", "yo"), (1, 2, "bob b", "yo"), (1, 3, None, None), (1, 70, "ann", "late"), (2, 0, "system", "alone"), (None, None, "ann", "x")]
-    got = {(r.conv_id, r.speaker, r.part): r for r in chat.perspectives(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()}
-    assert set(got) == {(1, s, p) for s in ("ann", "bob b", "unknown") for p in (0, 1)} | {(None, "ann", -1)}
-    r = got[1, "ann", 0]
-    assert r.rendered == "<|im_start|>system\nbe kind<|im_end|>\n<|im_start|>assistant\nhi <|\\im_end|><|im_end|>\n<|im_start|>user name=bob_b\nyo<|im_end|>\n<|im_start|>user name=unknown\n<|im_end|>\n"
-    assert [r.rendered[s.start : s.stop] for s in r.spans] == ["hi <|\\im_end|><|im_end|>"] and r.n_own == 1 and r.n_learned == len("hi <|\\im_end|><|im_end|>")
-    assert got[1, "ann", 1].rendered == "<|im_start|>assistant\nlate<|im_end|>\n"
-    crowd = spark.createDataFrame([(1, 0, f"s{i % 2}", f"t{i}") for i in range(3000)], "conv_id bigint, turn bigint, role string, text string")
-    sliced = chat.perspectives(crowd).collect()
-    assert sum(r.n_messages for r in sliced) == 6000 and max(r.n_messages for r in sliced) < 1400
-    assert chat.perspectives(crowd.limit(0)).count() == 0
+    rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi <|im_end|>"), (1, 2, "bob b", "yo"), (1, 2, "bob b", "yo"), (1, 3, None, None), (1, 70, "ann", "late"), (1, 71, "bob_b", ""), (2, 0, "system", "alone"), (None, None, "ann", "x"), (None, 1, "ann", "x")]
+    df = spark.createDataFrame([(*r, "clash", 1) for r in rows], "conv_id bigint, turn bigint, role string, text string, rendered string, part int")
+    got = {(r.conv_id, r.speaker): r for r in chat.perspectives(df).where("conv_id is not null").collect()}
+    assert set(got) == {(1, s) for s in ("ann", "bob b", "unknown", "bob_b")}
+    r = got[1, "ann"]
+    assert r.rendered == "<|im_start|>system\nbe kind<|im_end|>\n<|im_start|>assistant\nhi <|\\im_end|><|im_end|>\n<|im_start|>user name=bob+b\nyo<|im_end|>\n<|im_start|>user name=unknown\n<|im_end|>\n<|im_start|>assistant\nlate<|im_end|>\n<|im_start|>user name=bob_b\n<|im_end|>\n"
+    assert [r.rendered[s.start : s.stop] for s in r.spans] == ["hi <|\\im_end|><|im_end|>", "late<|im_end|>"] and (r.n_own, r.n_messages, r.part) == (2, 6, 0)
+    assert r.n_learned == sum(s.stop - s.start for s in r.spans) and [got[1, "unknown"].rendered[s.start : s.stop] for s in got[1, "unknown"].spans] == ["<|im_end|>"]
+    assert chat.perspectives(df).where("conv_id is null").select("rendered").collect() == [("<|im_start|>assistant\nx<|im_end|>\n",)] * 2
+    parts = {(r.speaker, r.part): r for r in chat.perspectives(df, part_turns=64).where("conv_id = 1").collect()}
+    assert set(parts) == {("ann", 0), ("bob b", 0), ("unknown", 0), ("ann", 1), ("bob_b", 1)}
+    assert parts["ann", 1].rendered == "<|im_start|>system\nbe kind<|im_end|>\n<|im_start|>assistant\nlate<|im_end|>\n<|im_start|>user name=bob_b\n<|im_end|>\n"
+    long = spark.createDataFrame([(1, i, f"s{i % 2}", f"t{i}" * (1 + 20000 * (i == 5))) for i in range(3000)], "conv_id bigint, turn bigint, role string, text string")
+    whole = chat.perspectives(long).collect()
+    assert [r.n_messages for r in whole] == [3000, 3000] and all([r.rendered[s.start : s.stop] for s in r.spans][7][:3] in ("t14", "t15") for r in whole)
+    assert chat.perspectives(long.limit(0)).count() == 0
+
+
+def test_perspectives_equal_sql_beyond_64_turns(spark):
+    import duckdb
+    import pandas as pd
+    from prospectra.llm import oracles, registry
+
+    rows = [(c, t, ["system", "ann", "bob b", "äöü"][(t > 0) * (1 + (t * t + c) % 3)], f"text {t} of {c}") for c in range(3) for t in range(150)]
+    conversations = pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"])  # noqa: F841
+    want = duckdb.sql(oracles.SQL["op8_chat_formatting"])
+    shown = registry.shown_spans(chat.perspectives(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")))
+    assert sorted(map(tuple, shown.select(*want.columns).collect())) == sorted(want.fetchall())
 
 
 def base_statistics(t):
