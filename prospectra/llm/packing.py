@@ -26,8 +26,6 @@ from prospectra.llm import vocabularies, words
 CAPACITY = 2048
 #: Pieces that pack together; bounds a task's memory.
 BLOCK = 65_536
-#: Underfull sequences that one exchange looks at.
-LOOK = 64
 
 
 def _encoder(vocabulary: str, ranks: str | None):
@@ -117,61 +115,79 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(lengths: np.ndarray, bins: list[list[int]], capacity: int, rounds: int = 10_000) -> list[list[int]]:
+class _Underfull:
+    """Underfull sequences, and what could leave them: each piece, and nothing, by the size that may come in for it."""
+
+    def __init__(self, size: list[int], bins: list[list[int]], capacity: int):
+        self.size, self.bins, self.capacity = size, bins, capacity
+        self.fill = [sum(size[i] for i in b) for b in bins]
+        self.offers: list[tuple[int, int, int, int]] = []  # (slack + size of the piece, size of the piece, sequence, piece or -1)
+        for b in range(len(bins)):
+            self.offers += self._of(b)
+        self.offers.sort()
+
+    def _of(self, b: int) -> list[tuple[int, int, int, int]]:
+        slack = self.capacity - self.fill[b]
+        return [(slack, 0, b, -1), *((slack + self.size[i], self.size[i], b, i) for i in self.bins[b])] if slack and self.bins[b] else []
+
+    def take_out(self, b: int) -> None:
+        for offer in self._of(b):
+            del self.offers[bisect_left(self.offers, offer)]
+
+    def put_in(self, b: int) -> None:
+        for offer in self._of(b):
+            insort(self.offers, offer)
+
+    def step(self, donor: int) -> bool:
+        """The move or exchange that leaves another sequence fullest, if one gives it more than it gives back."""
+        mine, size, best = self.bins[donor], self.size, None
+        outs = {size[i]: [i] for i in mine}
+        outs |= {size[i] + size[j]: [i, j] for k, i in enumerate(mine) for j in mine[k + 1 :] if size[i] + size[j] not in outs and size[i] + size[j] <= self.capacity}
+        for total in sorted(outs, reverse=True):
+            for at in range(bisect_left(self.offers, (total,)), len(self.offers)):
+                upto, back, target, piece = self.offers[at]
+                if best is not None and upto - total >= best[0]:
+                    break
+                if back < total and target != donor and self.fill[target] >= self.fill[donor]:
+                    best = (upto - total, target, outs[total], piece)
+                    break
+            if best is not None and best[0] == 0:
+                break
+        if best is None:
+            return False
+        _, target, out, piece = best
+        back = [piece] if piece >= 0 else []
+        moved = sum(size[i] for i in out) - sum(size[i] for i in back)
+        for b, leave, come, change in ((donor, out, back, -moved), (target, back, out, moved)):
+            self.take_out(b)
+            self.bins[b] = [i for i in self.bins[b] if i not in leave] + come
+            self.fill[b] += change
+            self.put_in(b)
+        return True
+
+
+def local_search(lengths: np.ndarray, bins: list[list[int]], capacity: int) -> list[list[int]]:
     """Empties the least filled sequences by moves and one-for-one or two-for-one exchanges.
 
-    Every step gives an underfull sequence more tokens from one that is less full, so the sum of
-    squared fills rises with each and the search ends; it stops at once when no arrangement could
-    have fewer sequences.
+    Every step gives a sequence that is no less full more tokens than it gives back, so the sum of
+    squared fills rises with each and the search ends: when no sequence has a step left, or when
+    no arrangement could have fewer sequences.
     """
     size = [int(x) for x in lengths]
-    fill = [sum(size[i] for i in b) for b in bins]
-    least = math.ceil(sum(fill) / capacity) if fill else 0
-    live = sum(1 for b in bins if b)
-    stuck: set[int] = set()
-    while live > least and rounds > 0:
-        under = sorted((b for b in range(len(bins)) if bins[b] and fill[b] < capacity), key=lambda b: (fill[b], b))
-        donors = [b for b in under if b not in stuck]
-        if not donors:
-            break
-        donor = donors[0]
-        targets = [b for b in under if b != donor and fill[b] >= fill[donor]][:LOOK]
-        step = _exchange(size, bins, fill, donor, targets, capacity)
-        rounds -= 1
-        if step is None:
-            stuck.add(donor)
-            continue
-        target, out, back = step
-        bins[donor] = [i for i in bins[donor] if i not in out] + back
-        bins[target] = [i for i in bins[target] if i not in back] + out
-        moved = sum(size[i] for i in out) - sum(size[i] for i in back)
-        fill[donor] -= moved
-        fill[target] += moved
-        stuck.clear()
-        if not bins[donor]:
-            live -= 1
-    return [b for b in bins if b]
-
-
-def _exchange(size: list[int], bins: list[list[int]], fill: list[int], donor: int, targets: list[int], capacity: int) -> tuple[int, list[int], list[int]] | None:
-    """The exchange that leaves a target fullest: (target, pieces out of the donor, pieces back into it)."""
-    best: tuple[int, int, list[int], list[int]] | None = None
-    mine = sorted(bins[donor], key=lambda i: -size[i])
-    outs = [[i] for i in mine] + [[i, j] for k, i in enumerate(mine[:24]) for j in mine[k + 1 : 24]]
-    for target in targets:
-        slack = capacity - fill[target]
-        theirs = sorted(bins[target], key=lambda i: -size[i])
-        singles = [(0, [])] + [(size[i], [i]) for i in theirs]
-        pairs = [(size[i] + size[j], [i, j]) for k, i in enumerate(theirs[:24]) for j in theirs[k + 1 : 24]]
-        for out in outs:
-            gives = sum(size[i] for i in out)
-            for takes, back in singles + (pairs if len(out) == 1 else []):
-                gain = gives - takes
-                if 0 < gain <= slack and (best is None or gain - slack > best[0]):
-                    best = (gain - slack, target, out, back)
-                    if gain == slack:
-                        return best[1:]
-    return best[1:] if best else None
+    state = _Underfull(size, [list(b) for b in bins], capacity)
+    least = math.ceil(sum(size) / capacity)
+    live, moved = sum(1 for b in bins if b), True
+    while moved and live > least:
+        moved = False
+        for donor in sorted(range(len(bins)), key=lambda b: (state.fill[b], b)):
+            if not state.bins[donor] or state.fill[donor] == capacity:
+                continue
+            while state.bins[donor] and state.step(donor):
+                moved = True
+            live -= not state.bins[donor]
+            if live <= least:
+                break
+    return [b for b in state.bins if b]
 
 
 def pack_pieces(pieces: DataFrame, rows: int, capacity: int = CAPACITY, block: int = BLOCK) -> DataFrame:
