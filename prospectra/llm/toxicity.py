@@ -22,8 +22,10 @@ from prospectra.llm import labelled, words
 #: Hash buckets; labelled rows of each class to fit on; buckets that the machine keeps.
 BUCKETS, SAMPLE, KEPT = 1 << 20, 6000, 16_384
 RANK, EPOCHS = 4, 80
-#: Standard errors by which a bucket must tell the classes apart.
-LEAST_POWER = 3.0
+#: Standard errors by which a bucket must tell the classes apart alone, or a pair beyond what its two do alone.
+LEAST_POWER, PAIR_POWER = 3.0, 5.5
+#: Buckets whose pairs are looked at, the most frequent ones.
+PAIRED = 1024
 
 
 @dataclass
@@ -54,14 +56,46 @@ def _pairs(texts: pa.Array, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return both >> 32, both & 0xFFFFFFFF
 
 
+def lifted_pairs(doc: np.ndarray, bucket: np.ndarray, away: np.ndarray, most: int = PAIRED, least: float = PAIR_POWER) -> list[tuple[int, int, float]]:
+    """(bucket, bucket, sign) of pairs that tell the classes apart together by `least` standard errors, beyond what either does alone.
+
+    `away` is a text's class less the classes' mean. Pairs are of the `most` frequent buckets that
+    are in less than nine tenths of the texts.
+    """
+    n = len(away)
+    kinds, times = np.unique(bucket, return_counts=True)
+    some = times < 0.9 * n
+    common = kinds[some][np.argsort(-times[some], kind="stable")[:most]]
+    common.sort()
+    if len(common) < 2:
+        return []
+    place = np.minimum(np.searchsorted(common, bucket), len(common) - 1)
+    hit = common[place] == bucket
+    x = np.zeros((n, len(common)), np.float32)
+    x[doc[hit], place[hit]] = 1
+    together = (x.T @ x).astype(float)
+    rate = (x.T @ (x * away[:, None].astype(np.float32))).astype(float)
+    seen, alone = np.diag(together), np.diag(rate)
+    # What the two would give, were their effects additive around the mean.
+    expected = together * ((alone / np.maximum(seen, 1))[:, None] + (alone / np.maximum(seen, 1))[None, :])
+    power = (rate - expected) / np.sqrt((together + 1) * max(float((away**2).mean()), 1e-9))
+    # A bucket that is nearly always with the other adds nothing of its own.
+    apart = together < 0.9 * np.minimum(seen[:, None], seen[None, :])
+    i, j = np.nonzero(np.triu((np.abs(power) >= least) & apart & (together >= 8), 1))
+    order = np.argsort(-np.abs(power[i, j]), kind="stable")
+    return [(int(common[i[k]]), int(common[j[k]]), float(np.sign(power[i[k], j[k]]))) for k in order]
+
+
 def fit(doc: np.ndarray, bucket: np.ndarray, y: np.ndarray, weights: np.ndarray, kept: int = KEPT, rank: int = RANK, epochs: int = EPOCHS, seed: int = 7) -> Machine:
-    """From distinct pairs of document and bucket. Keeps the buckets that tell the classes apart best among these rows, whatever their weights."""
+    """From distinct pairs of document and bucket. Keeps the buckets that tell the classes apart best among these rows, whatever their weights, alone or in a pair."""
     own = float(np.clip(y.mean(), 1e-3, 1 - 1e-3)) if len(y) else 0.5
     rate = np.bincount(bucket, (y - own)[doc], BUCKETS)
     seen = np.bincount(bucket, minlength=BUCKETS)
     base = float(np.clip(np.average(y, weights=weights), 1e-3, 1 - 1e-3))
     power = np.abs(rate) / np.sqrt((seen + 1.0) * own * (1 - own))
     power[(seen < 3) | (power < LEAST_POWER)] = 0
+    pairs = lifted_pairs(doc, bucket, y - own)[: kept // 4]
+    power[[b for p in pairs for b in p[:2]]] = np.inf
     chosen = np.sort(np.argsort(-power, kind="stable")[: min(kept, int((power > 0).sum()))])
     slots = np.full(BUCKETS, -1, np.int32)
     slots[chosen] = np.arange(len(chosen))
@@ -70,6 +104,9 @@ def fit(doc: np.ndarray, bucket: np.ndarray, y: np.ndarray, weights: np.ndarray,
     n, m = len(y), len(chosen)
     rng = np.random.default_rng(seed)
     params = [np.array([np.log(base / (1 - base))]), np.zeros(m), rng.normal(0, 0.02, (m, rank))]
+    for k, (a, b, sign) in enumerate(pairs):  # factors begin where the pairs point
+        params[2][slots[a], k % rank] += 1.5
+        params[2][slots[b], k % rank] += 1.5 * sign
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     share = weights / max(weights.sum(), 1e-12)
     for step in range(1, epochs + 1):
@@ -146,11 +183,17 @@ def toxicity(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
 
     Learns only from labels whose key's fold is not `held_out`; nothing but the text goes into a
     score. Null and empty texts get the score of a text without known terms. Without any labels all
-    scores are low. Keys may be null or repeated; null labels are left out.
+    scores are low. Keys may be null or repeated; null labels are left out. A column of `df` called
+    like one of the new ones gives way to it. An empty table gives no rows.
     """
     learned = train(df, labels.where(labelled.fold(F.col(key), folds) != held_out), key, text, label)
-    columns = keep or [key]
-    source = df.select(*dict.fromkeys([*columns, text]))
-    scored = score(source, learned, text, "__p")
+    columns = [c for c in keep or [key] if c not in ("held_out", "score", "predicted")]
+    scored = score(df.select(*dict.fromkeys([*columns, key, text])), learned, text, "__p")
     fold = (labelled.fold(F.col(key), folds) == held_out).alias("held_out")
-    return scored.select(*columns, fold if key in columns else F.lit(None).cast("boolean").alias("held_out"), F.col("__p").alias("score"), (F.col("__p") >= 0.5).cast("int").alias("predicted"))
+    return scored.select(*columns, fold, F.col("__p").alias("score"), (F.col("__p") >= 0.5).cast("int").alias("predicted"))
+
+
+def without_toxic(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 5, held_out: int = 0) -> DataFrame:
+    """The rows of `df` that `toxicity` does not predict to be toxic, with all their columns, whatever their names."""
+    learned = train(df, labels.where(labelled.fold(F.col(key), folds) != held_out), key, text, label)
+    return score(df, learned, text, "__p").where("__p < 0.5").select(*df.columns)
