@@ -30,9 +30,9 @@ BUCKET_ROWS = 4096
 BINS = 1024
 
 
-def shuffle_key(key: Column, seed: int = 0) -> Column:
-    """32 hexadecimal digits that look random; a null key counts as empty."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit(""))))
+def shuffle_key(key: Column, text: Column, seed: int = 0) -> Column:
+    """32 hexadecimal digits that look random; where the key is null they come from the text."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.concat(F.lit("~"), F.xxhash64(text.cast("string")).cast("string")))))
 
 
 def source_targets(sizes: DataFrame, source: str, cycle: tuple[int, ...] = (1, 2, 3), repeats: int = 3) -> DataFrame:
@@ -71,7 +71,7 @@ def _prepared(df: DataFrame, key: str, text: str, source: str, seed: int) -> Dat
             "__source": F.col(source),
             "__size": textstats.word_count(F.col(text)),
             "__tie": F.xxhash64(F.col(text).cast("string")),
-            "__at": shuffle_key(F.col(key), seed),
+            "__at": shuffle_key(F.col(key), F.col(text), seed),
             "__key": F.col(key),
         }
     )
@@ -131,6 +131,22 @@ def plan(rows: DataFrame, cycle: Sequence[int] = (1, 2, 3), repeats: int = 3) ->
     return Plan(targets, bases, digits, last_finish(copies, budget), repeats)
 
 
+def _decided(df: DataFrame, key: str, text: str, source: str, keep: Sequence[str], cycle: Sequence[int], repeats: int, seed: int) -> DataFrame:
+    """The columns in `keep` as __c0, __c1 and so on, with __size, source_size, target and __copies."""
+    prepared = _prepared(df, key, text, source, seed)
+    inner = ["__source", "__size", "__tie", "__at", "__key"]
+    narrow = scratch.stored(prepared.select(*inner))
+    how = plan(narrow, cycle, repeats)
+    kept = [f"__c{i}" for i in range(len(keep))]
+    if set(keep) <= {key, source}:
+        wide = narrow.select("*", *[F.col("__key" if c == key else "__source").alias(n) for c, n in zip(keep, kept, strict=True)])
+    else:
+        wide = prepared.select(*[F.col(c).alias(n) for c, n in zip(keep, kept, strict=True)], *inner)
+    done = _queued(wide, how.targets, how.bases, how.digits)
+    copies = sum((F.when((F.col("__size") > 0) & (_finish(t) <= how.last), 1).otherwise(0) for t in range(how.repeats)), F.lit(0))
+    return done.select(*kept, "__size", "source_size", "target", copies.alias("__copies"))
+
+
 def mix(
     df: DataFrame,
     key: str = "doc_id",
@@ -151,25 +167,14 @@ def mix(
     """
     new = ["size", "source_size", "target", "taken", "copies"]
     kept = [c for c in (df.columns if keep is None else keep) if c not in new]
-    prepared = _prepared(df, key, text, source, seed)
-    inner = ["__source", "__size", "__tie", "__at", "__key"]
-    narrow = scratch.stored(prepared.select(*inner))
-    how = plan(narrow, cycle, repeats)
-    wide = narrow if set(kept) <= {key, source} else prepared.select(*[F.col(c).alias(f"__c{i}") for i, c in enumerate(kept)], *inner)
-    done = _queued(wide, how.targets, how.bases, how.digits)
-    copies = sum((F.when((F.col("__size") > 0) & (_finish(t) <= how.last), 1).otherwise(0) for t in range(how.repeats)), F.lit(0))
-    names = [(F.col("__key") if c == key else F.col("__source")) if wide is narrow else F.col(f"__c{i}") for i, c in enumerate(kept)]
-    return done.select(
-        *[c.alias(k) for c, k in zip(names, kept, strict=True)],
-        F.col("__size").alias("size"),
-        "source_size",
-        "target",
-        (copies * F.col("__size")).alias("taken"),
-        copies.alias("copies"),
-    )
+    done = _decided(df, key, text, source, kept, cycle, repeats, seed)
+    names = [F.col(f"__c{i}").alias(c) for i, c in enumerate(kept)]
+    size, copies = F.col("__size"), F.col("__copies")
+    return done.select(*names, size.alias("size"), "source_size", "target", (copies * size).alias("taken"), copies.alias("copies"))
 
 
-def repeated(mixed: DataFrame) -> DataFrame:
-    """The rows of `mix` that are taken, each as often as it is, without the mix's own columns."""
-    new = ["size", "source_size", "target", "taken", "copies"]
-    return mixed.where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("__copy", *new)
+def mixed_rows(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", cycle: Sequence[int] = (1, 2, 3), repeats: int = 3, seed: int = 0) -> DataFrame:
+    """The rows of `df` that `mix` takes, each as often as it does, with all their columns, whatever their names."""
+    done = _decided(df, key, text, source, df.columns, cycle, repeats, seed).where("__copies > 0")
+    each = done.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    return each.select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(df.columns)])
