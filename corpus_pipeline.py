@@ -17,10 +17,9 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that are not predicted to be toxic."""
+    """The documents that are not predicted to be toxic, judged row by row. Null and empty texts are scored as texts without known terms; other columns may have any name."""
     registry.importable(spark)
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity.toxicity(docs, labels, keep=docs.columns).where("predicted = 0").select(*docs.columns)
+    return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -31,14 +30,17 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the rules keep, judged row by row."""
+    """The documents that the rules keep, judged row by row. Null and empty texts go, as texts of under 50 words do; null languages and sources are groups of their own; other columns may have any name."""
     rows = _numbered(docs)
     kept = quality_rules.quality_rules(rows, key="__row").where("kept").select("__row")
     return rows.join(kept, "__row", "left_semi").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of linked ones: that with the smallest id, or without an id if none has one. Blank texts are kept."""
+    """One row of each group of linked ones: that with the smallest id, or without an id if none has one.
+
+    Of equal rows one stays. Null, empty and blank texts link with nothing and are kept. Other columns may have any name.
+    """
     registry.importable(spark)
     rows = _numbered(docs)
     groups = near_join.near_join(rows, key="__row", n=5, percent=80).select("__row", "component_id")
@@ -48,12 +50,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, each as often as it does."""
-    return mixing.repeated(mixing.mix(docs)).select(*docs.columns)
+    """The documents that the mix takes, each as often as it does. Null and empty texts have no size and are never taken; null sources are one source; other columns may have any name."""
+    return mixing.mixed_rows(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their sequences, as op4 returns them."""
+    """Pieces of documents with their sequences, as op4 returns them: each row of `docs` gives its own. A null or empty text is one piece of one token; other columns are not read."""
     registry.importable(spark)
     return packing.pack_documents(docs, keep_ids=False)
 
@@ -66,7 +68,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("best-fit packing", pack),
 ]
 
-#: Trained and iterative stages have no SQL; the tests hold each against a brute-force version.
+#: Trained and iterative stages have no SQL; tests/llm/test_pipeline.py holds each against a plain version.
 ORACLE_SQL = None
 
 
