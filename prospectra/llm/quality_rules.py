@@ -2,10 +2,11 @@
 
 Each whole text gives a few counts. Texts that pass two plain rules give vectors of transformed
 statistics; for every language and source a minimum-covariance-determinant estimate of centre and
-scatter is made by concentration steps (estimate, keep the half with the smallest Mahalanobis
-distances, estimate again), and texts far outside are rejected. Statistics are kept to a grid, so
-medians and quantiles count distinct values of which there are few, and groups are only ever
-summed: no group of rows meets in one task.
+scatter is made from several starts by concentration steps (estimate, keep the share with the
+smallest Mahalanobis distances, estimate again), of which the one with the least determinant goes
+on; texts far outside are rejected. Statistics are kept to a grid, so medians and quantiles count
+distinct values of which there are few, and groups are only ever summed: no group of rows meets in
+one task.
 """
 
 from __future__ import annotations
@@ -26,6 +27,10 @@ FEATURES = {"f_length": 0.25, "f_word": 0.08, "f_symbol": 0.03, "f_line": 0.08,
 CUTOFF = 30.856
 #: Grid of the transformed statistics.
 GRID = 1024.0
+#: Starts of an estimate: the medians, and random eighths of a group. Steps from each start.
+STARTS, DRAWN, FIRST_STEPS = 4, 8, 2
+#: Groups up to which estimates are broadcast (about half a kilobyte for each start); beyond it they are joined.
+BROADCAST_GROUPS = 10_000
 #: Positions of repeated windows share a long with their hash up to this many words.
 PACKED = 20
 
@@ -123,7 +128,7 @@ def _cholesky(prefix: str) -> tuple[list[tuple[str, Column]], Column]:
 
 
 def _estimates(rows: DataFrame) -> DataFrame:
-    """Means and floored covariances per __group, with the factor of the covariance."""
+    """Means and floored covariances per __group, with the factor of the covariance and __spread, the logarithm of the root of its determinant."""
     names = list(FEATURES)
     sums = [F.sum(a).alias(f"s{i}") for i, a in enumerate(names)]
     crosses = [F.sum(F.col(a) * F.col(b)).alias(f"q{i}{j}") for i, a in enumerate(names) for j, b in enumerate(names) if j >= i]
@@ -139,12 +144,18 @@ def _estimates(rows: DataFrame) -> DataFrame:
     factor = [s for s in _cholesky("")[0] if s[0].startswith("__l")]
     for name, column in factor:
         out = out.withColumn(name, column)
+    out = out.withColumn("__spread", sum((F.log(f"__l{i}{i}") for i in range(1, len(names))), F.log("__l00")))
     return out.drop(*[f"c{i}{j}" for i in range(len(names)) for j in range(i, len(names))])
 
 
-def _distance(rows: DataFrame, estimates: DataFrame) -> DataFrame:
+def drawn(start: int | Column) -> Column:
+    """Whether a row is in the random eighth that a start begins with; equal rows are in together."""
+    return F.pmod(F.xxhash64(F.lit(start) if isinstance(start, int) else start, *FEATURES), F.lit(DRAWN)) == 0
+
+
+def _distance(rows: DataFrame, estimates: DataFrame, few: bool) -> DataFrame:
     """Adds __d2; null where the group has no estimate."""
-    joined = rows.join(estimates, F.col("__group") == F.col("__g"), "left")
+    joined = rows.join(F.broadcast(estimates) if few else estimates, F.col("__group") == F.col("__g"), "left")
     steps, d2 = _cholesky("")
     for name, column in steps:
         if name.startswith("__z"):
@@ -160,43 +171,62 @@ def _level(d2: Column) -> Column:
 def mcd_distances(rows: DataFrame, groups: tuple[str, ...] = ("lang", "source"), least: int = 100, steps: int = 4, share: float = 0.75) -> DataFrame:
     """`rows` of text statistics with features and __d2, the robust squared distance from their group.
 
-    Groups of fewer than `least` rows join those of their first column, and these the rest. The
-    start is the coordinates' medians and median deviations; each of `steps` concentration steps
-    keeps the `share` of a group that is nearest. Distances are scaled so that a group's median is
-    that of a chi-squared variable. Rows of groups that stay smaller than `least` get null.
+    Groups of fewer than `least` rows join those of their first column, and these the rest. One
+    start is the coordinates' medians and median deviations, the others are random parts of the
+    group; each of `steps` concentration steps keeps the `share` of a group that is nearest, and
+    after FIRST_STEPS of them only the start with the least determinant goes on. Distances are
+    scaled so that a group's median is that of a chi-squared variable. Rows of groups that stay
+    smaller than `least` get null: so few rows say too little of five statistics and their scatter.
     """
     names = list(FEATURES)
     label = lambda *cs: F.concat_ws("\x1f", *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in cs])
     fine, coarse = label(*groups), label(groups[0])
     featured = rows.withColumns(_features()).withColumns({"__fine": fine, "__coarse": coarse})
-    fines = featured.groupBy("__coarse", "__fine").count()
+    fines = scratch.stored(featured.groupBy("__coarse", "__fine").count())
+    few = fines.count() <= BROADCAST_GROUPS
+    small = (lambda d: F.broadcast(d)) if few else (lambda d: d)
     lang = fines.where(F.col("count") < least).groupBy("__coarse").agg(F.sum("count").alias("__n"))
     named = fines.join(lang, "__coarse", "left").select(
         F.col("__fine").alias("__f"),
         F.when(F.col("count") >= least, F.concat(F.lit("f"), "__fine")).when(F.col("__n") >= least, F.concat(F.lit("c"), "__coarse")).otherwise(F.lit("rest")).alias("__group"),
     )
-    data = scratch.stored(featured.join(named, F.col("__fine") == F.col("__f")).drop("__f", "__fine", "__coarse"))
+    data = scratch.stored(featured.join(small(named), F.col("__fine") == F.col("__f")).drop("__f", "__fine", "__coarse"))
     big = data.groupBy("__group").count().where(F.col("count") >= least).select(F.col("__group").alias("__big"))
-    used = data.join(big, F.col("__group") == F.col("__big"), "left_semi")
+    used = data.join(small(big), F.col("__group") == F.col("__big"), "left_semi").select("__group", *names)
     centre = scratch.stored(used.groupBy("__group").agg(*[F.expr(f"percentile({f}, 0.5)").alias(f"m{i}") for i, f in enumerate(names)]).withColumnRenamed("__group", "__g"))
-    away = used.join(centre, F.col("__group") == F.col("__g"))
+    away = used.join(small(centre), F.col("__group") == F.col("__g"))
     spread = scratch.stored(away.groupBy("__g").agg(*[F.expr(f"percentile(round(abs({f} - m{i}) * {GRID}), 0.5)").alias(f"v{i}") for i, f in enumerate(names)]))
     first = centre.join(spread, "__g")
     for i, floor in enumerate(FEATURES.values()):
         for k in range(i):
             first = first.withColumn(f"__l{i}{k}", F.lit(0.0))
         first = first.withColumn(f"__l{i}{i}", F.greatest(1.4826 * F.col(f"v{i}") / GRID, F.lit(floor)))
-    estimates = scratch.stored(first.drop(*[f"v{i}" for i in range(len(names))]))
-    for _ in range(steps):
-        near = _distance(used, estimates).withColumn("__level", _level(F.col("__d2")))
+    first = first.drop(*[f"v{i}" for i in range(len(names))]).withColumn("__spread", F.lit(None).cast("double"))
+
+    def stepped(rows: DataFrame, estimates: DataFrame) -> DataFrame:
+        near = _distance(rows, estimates, few).where("__d2 is not null").withColumn("__level", _level(F.col("__d2")))
         limit = near.groupBy("__group").agg(F.expr(f"percentile(__level, {share})").alias("__limit")).withColumnRenamed("__group", "__g")
-        estimates = scratch.stored(_estimates(near.join(limit, F.col("__group") == F.col("__g")).where(F.col("__level") <= F.col("__limit"))))
+        return scratch.stored(_estimates(near.join(small(limit), F.col("__group") == F.col("__g")).where(F.col("__level") <= F.col("__limit"))))
+
+    # Every start has a copy of each row, under a group that the start's number leads.
+    tagged = lambda d, at: d.withColumn(at, F.concat_ws("\x1f", F.col("__start").cast("string"), at))
+    copies = tagged(used.withColumn("__start", F.explode(F.sequence(F.lit(0), F.lit(STARTS - 1)))), "__group")
+    parts = _estimates(copies.where(F.col("__start") > 0).where(drawn(F.col("__start"))))
+    estimates = scratch.stored(tagged(first.withColumn("__start", F.lit(0)), "__g").drop("__start").unionByName(parts))
+    for _ in range(FIRST_STEPS):
+        estimates = stepped(copies.drop("__start"), estimates)
+    columns = [c for c in estimates.columns if c != "__g"]
+    plain = estimates.withColumn("__plain", F.expr("substring(__g, instr(__g, '\x1f') + 1)"))
+    best = plain.groupBy("__plain").agg(F.min(F.struct("__spread", "__g", *[c for c in columns if c != "__spread"])).alias("b"))
+    estimates = scratch.stored(best.select(F.col("__plain").alias("__g"), *[F.col(f"b.{c}").alias(c) for c in columns]))
+    for _ in range(steps - FIRST_STEPS):
+        estimates = stepped(used, estimates)
     # The median of a chi-squared variable with as many degrees of freedom as there are features.
     k = len(names)
     median = k * (1 - 2 / (9 * k)) ** 3
-    final = _distance(data, estimates)
+    final = _distance(data, estimates, few)
     middle = final.where(F.col("__d2").isNotNull()).groupBy("__group").agg((F.pow(F.lit(2.0), F.expr("percentile(round(log2(__d2 + 1e-6) * 128), 0.5)") / 128) / median).alias("__scale"))
-    scaled = final.join(scratch.stored(middle.withColumnRenamed("__group", "__g")), F.col("__group") == F.col("__g"), "left").drop("__g")
+    scaled = final.join(small(scratch.stored(middle.withColumnRenamed("__group", "__g"))), F.col("__group") == F.col("__g"), "left").drop("__g")
     return scaled.withColumn("__d2", F.col("__d2") / F.greatest(F.col("__scale"), F.lit(1.0))).drop("__scale", "__group")
 
 

@@ -355,22 +355,33 @@ def test_robust_distances_equal_numpy(spark):
     rows = [(int(n), int(n * c), int(s), int(n // 20 + 1), int(d), int(p), "en", "s") for n, c, s, d, p in zip(rng.integers(60, 900, 400), rng.normal(5, 0.2, 400), rng.integers(0, 4, 400), rng.integers(0, 3, 400), rng.integers(0, 9, 400))]
     rows[0] = (100, 2000, 300, 5, 4, 40, "en", "s")
     df = spark.createDataFrame(rows, "n_words bigint, word_chars bigint, n_symbols bigint, n_lines bigint, n_dup_lines bigint, n_repeat_words bigint, lang string, source string")
-    got = quality_rules.mcd_distances(df).toPandas()
+    got = quality_rules.mcd_distances(df).select("*", *[quality_rules.drawn(k).alias(f"in{k}") for k in (1, 2, 3)]).toPandas()
     x = got[list(quality_rules.FEATURES)].to_numpy()
     floors = np.array(list(quality_rules.FEATURES.values()))
-    m = np.quantile(x, 0.5, axis=0)
-    s = np.maximum(1.4826 * np.quantile(np.abs(x - m), 0.5, axis=0), floors)
-    d = (((x - m) / s) ** 2).sum(axis=1)
     level = lambda d: np.floor(np.log2(d + 1e-6) * 128 + 0.5)
-    for _ in range(4):
-        near = x[level(d) <= np.quantile(level(d), 0.75)]
-        m, c = near.mean(axis=0), np.cov(near.T, bias=True) + np.diag(floors**2)
-        d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+    moments = lambda near: (near.mean(axis=0), np.cov(near.T, bias=True) + np.diag(floors**2))
+    distances = lambda m, c: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+    stepped = lambda m, c: moments(x[level(distances(m, c)) <= np.quantile(level(distances(m, c)), 0.75)])
+    m = np.quantile(x, 0.5, axis=0)
+    starts = [(m, np.diag(np.maximum(1.4826 * np.quantile(np.abs(x - m), 0.5, axis=0), floors) ** 2))] + [moments(x[got[f"in{k}"]]) for k in (1, 2, 3)]
+    ends = [stepped(*stepped(*s)) for s in starts]
+    best = min(ends, key=lambda e: np.linalg.det(e[1]))
+    d = distances(*stepped(*stepped(*best)))
     scale = max(2 ** (np.quantile(level(d), 0.5) / 128) / (5 * (1 - 2 / 45) ** 3), 1)
     assert np.allclose(np.sort(got["__d2"]), np.sort(d / scale), rtol=1e-3)
     assert got["__d2"].max() > 60
 
 
+def test_robust_estimates_take_the_least_determinant(spark):
+    """A third of a group lies far off and together; what is near the rest has the least determinant, and the third is rejected."""
+    rng = np.random.default_rng(8)
+    plain = [(int(n), int(5 * n), 0, 20, 0, 0) for n in rng.integers(90, 110, 260)]
+    off = [(int(n), int(9 * n), int(n // 3), 20, 0, 0) for n in rng.integers(380, 420, 80)]
+    df = spark.createDataFrame([(*r, "en", "s") for r in plain + off], "n_words bigint, word_chars bigint, n_symbols bigint, n_lines bigint, n_dup_lines bigint, n_repeat_words bigint, lang string, source string")
+    far = {tuple(r)[:1] for r in quality_rules.mcd_distances(df).where(F.col("__d2") > quality_rules.CUTOFF).select("n_words").collect()}
+    assert far == {(r[0],) for r in off}
+
+
 def test_each_statistic_can_reach_the_cutoff(spark):
     c = quality_rules.CUTOFF
     beyond = math.erfc(math.sqrt(c / 2)) + math.sqrt(2 * c / math.pi) * math.exp(-c / 2) * (1 + c / 3)
