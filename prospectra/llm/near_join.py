@@ -33,7 +33,7 @@ COORDINATES, FAN, BLOCK, BLOCK_SHINGLES = 256, 16, 1024, 4_000_000
 #: Rows up to which a table of keys is broadcast; beyond it the join is shuffled.
 BROADCAST_ROWS = 1_000_000
 #: Frequent shingles that are told apart, at most; shingles that a task counts at once; the share of texts from which one is frequent.
-FREQUENT, WINDOW, SHARE = 1 << 18, 4_000_000, 1 / 2000
+FREQUENT, WINDOW, SHARE = 1 << 18, 4_000_000, 1 / 4000
 
 
 def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,7 +69,7 @@ def frequent_shingles(df: DataFrame, text: str, n: int) -> tuple[np.ndarray, np.
 
         def most() -> pa.RecordBatch:
             kinds, times = np.unique(np.concatenate(held), return_counts=True)
-            keep = times >= max(4, docs * SHARE)
+            keep = times >= max(3, docs * SHARE)
             return pa.RecordBatch.from_arrays([pa.array(kinds[keep].view(np.int64)), pa.array(times[keep].astype(np.int64))], ["h", "c"])
 
         for batch in words.slices(batches, "__text"):
@@ -155,7 +155,7 @@ def _sets(df: DataFrame, wanted: DataFrame, key: str, text: str, n: int, vectors
             new = [i for i, x in enumerate(nodes) if x not in met and not met.add(x)]
             batch = batch.take(pa.array(new, pa.int64())) if len(new) < len(nodes) else batch
             hashes, ends = shingle_sets(batch.column("__text"), n)
-            rows = count_vectors(hashes, ends) if vectors else [hashes[a:b].astype("<u8") for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            rows = [x.astype("u1") if x.max() < 256 else x for x in count_vectors(hashes, ends)] if vectors else [hashes[a:b].astype("<u8") for a, b in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([x.tobytes() for x in rows], pa.binary())], [*others, made])
 
     fields = ", ".join(f"{c} {wanted.schema[c].dataType.simpleString()}" for c in others)
@@ -232,9 +232,12 @@ def forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     return links
 
 
-def _crowded(df: DataFrame, members: DataFrame, classes: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:
-    """Links (a, b) between classes that meet in the most crowded cell of both, from members (cell, node, many, load)."""
-    own = members.groupBy(F.col("node").alias("m")).agg(F.max(F.struct("many", "cell", "load")).alias("c"))
+def _crowded(df: DataFrame, members: DataFrame, classes: DataFrame, key: str, text: str, n: int, percent: int, least: float) -> DataFrame:
+    """Links (a, b) between classes that meet in the most crowded cell of both, from members (cell, node, n, many, load).
+
+    This only spares work later: it takes classes that share many cells, as most copies do.
+    """
+    own = members.groupBy(F.col("node").alias("m")).agg(F.max(F.struct("many", "cell", "load")).alias("c"), F.count("*").alias("cells"), F.first("n").alias("n")).where(F.col("cells") >= least * F.col("n"))
     blocks = F.ceil(F.greatest(F.col("c.many") / BLOCK, F.col("c.load") / BLOCK_SHINGLES))
     placed = own.select("m", F.col("c.cell").alias("cell"), F.pmod(F.xxhash64("m"), blocks).alias("block"))
     met = placed.groupBy(F.col("cell").alias("d"), F.col("block").alias("e")).count().where("count > 1").drop("count")
@@ -292,7 +295,7 @@ def _searched(members: DataFrame, vectors: DataFrame, percent: int) -> DataFrame
 
     def search(table: pa.Table) -> pa.Table:
         node, root, size, reach, block = (table.column(c).to_numpy() for c in ("node", "root", "n", "reach", "block"))
-        vectors = np.frombuffer(b"".join(table.column("vector").to_pylist()), "<i4").reshape(-1, COORDINATES)
+        vectors = np.stack([np.frombuffer(v, "u1" if len(v) == COORDINATES else "<i4").astype("<i4") for v in table.column("vector").to_pylist()])
         cells = table.column("cells").combine_chunks()
         flat, at = cells.flatten().to_numpy(), cells.offsets.to_numpy() - cells.offsets[0].as_py()
         cell, low, high = (table.column(c).to_numpy() for c in ("cell", "i", "j"))
@@ -340,14 +343,15 @@ def near_join(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 4
     shared = rows.groupBy(F.col("cell").alias("c")).agg(F.count("*").alias("many"), F.sum("n").alias("load"), F.max("reach").alias("most")).where("many > 1")
     met = rows.join(shared, F.col("cell") == F.col("c")).where("n <= most and (many > 2 or load - n <= reach)")
     members = scratch.stored(met.select("cell", "node", "n", "reach", "many", "load"))
-    links = _crowded(df, members, classes, key, text, n, percent)
+    # A quarter of the shingles that a class brings to cells.
+    links = _crowded(df, members, classes, key, text, n, percent, (100 - percent) / 400)
     roots = components.components(links)
     placed = members.join(roots, "node", "left").select("cell", "node", "n", "root")
     # The blocks of a large cell give a component each: one member of each stands for it.
     stands = placed.where("root is not null").groupBy("cell", "root").agg(F.min(F.struct("node", "n")).alias("s")).select("cell", "s.*")
     several = stands.groupBy(F.col("cell").alias("c")).agg(F.count("*").alias("many"), F.sum("n").alias("load")).where("many > 1")
-    standing = scratch.stored(stands.join(several, F.col("cell") == F.col("c")).drop("c", "n"))
-    links = scratch.stored(links.unionByName(_crowded(df, standing, classes, key, text, n, percent)))
+    standing = scratch.stored(stands.join(several, F.col("cell") == F.col("c")).drop("c"))
+    links = scratch.stored(links.unionByName(_crowded(df, standing, classes, key, text, n, percent, 0.0)))
     roots = components.components(links)
     placed = members.join(roots, "node", "left").select("cell", "node", "n", "reach", F.coalesce("root", "node").alias("root"))
     mixed = placed.groupBy(F.col("cell").alias("c")).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("c")
