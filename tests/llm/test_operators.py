@@ -490,34 +490,34 @@ def test_quality_held_out(spark):
     assert quality_model.quality(docs.limit(0), labels).count() == 0
 
 
+def test_risk_derivatives_and_the_switch():
+    rng = np.random.default_rng(0)
+    zp, zu, wp, wu = rng.normal(1, 1, 20), rng.normal(0, 1, 30), np.full(20, 1 / 20), np.full(30, 1 / 30)
+    risk, ep, eu = quality_model.risk_errors(zp, zu, wp, wu, 0.4)
+    for z, e in ((zp, ep), (zu, eu)):
+        for k in (0, 7):
+            z[k] += 1e-6
+            up = quality_model.risk_errors(zp, zu, wp, wu, 0.4)[0]
+            z[k] -= 1e-6
+            assert (up - risk) / 1e-6 == pytest.approx(e[k], rel=1e-4)
+    # Unlabelled texts that all look bad: the negatives' risk is below zero, counts as zero, and is stepped back from.
+    risk, ep, eu = quality_model.risk_errors(np.full(20, 3.0), np.full(30, -9.0), wp, wu, 0.9)
+    assert risk == pytest.approx(0.9 * math.log1p(math.exp(-3))) and (ep > 0).all() and (eu < 0).all()
+
+
+def test_class_prior_of_known_mixtures():
+    rng = np.random.default_rng(1)
+    for share in (0.2, 0.5, 0.85):
+        n = 20000
+        z = np.where(rng.random(n) < share, rng.normal(2, 1, n), rng.normal(-2, 1, n))
+        got = quality_model.class_prior(quality_model._counts(quality_model._place(rng.normal(2, 1, 4000))), quality_model._counts(quality_model._place(z)))
+        assert got == pytest.approx(share, abs=0.06)
+    places = np.linspace(-10, 10, 201)
+    good, bad = np.exp(-((places - 3) ** 2) / 2), np.exp(-((places + 1) ** 2) / 2)
+    scale, offset = quality_model.last_layer(places, good, 0.3 * good + 0.7 * bad, 0.3)
+    assert -4 < scale * -1 + offset < 0 < scale * 3 + offset
+
+
 def test_text_shape_of_odd_texts():
     shape = labelled.text_shape(pa.array([None, "", "A", "a a a", "é|é\n"]))
     assert shape.shape == (5, len(labelled.SHAPE)) and np.isfinite(shape).all() and shape[3, labelled.SHAPE.index("again")] == pytest.approx(2 / 3)
-
-
-def test_pipeline(spark):
-    import corpus_pipeline
-
-    packed = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    assert packed.count() > 0 and packed.agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= 2048
-
-
-def test_pipeline_judges_rows_not_ids(spark, tmp_path):
-    """Repeated rows, rows that share an id, and rows without one."""
-    import corpus_pipeline
-
-    r = random.Random(8)
-    text = lambda: " ".join(f"word{r.randrange(10000)}" for _ in range(80))
-    a, b, c, d, e = (text() for _ in range(5))
-    rows = [(1, a), (1, a), (1, "short"), (2, a), (3, b), (3, c), (4, c), (None, b), (None, d), (None, d), (None, "short"), (None, None), (5, e), (5, c)]
-    df = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
-    few = lambda f: collections.Counter((x.doc_id, x.text) for x in f.collect())
-    ruled = corpus_pipeline.apply_quality_rules(spark, df, "")
-    assert few(ruled) == collections.Counter(x for x in rows if x[1] not in ("short", None))
-    left = corpus_pipeline.drop_near_duplicates(spark, df.where("length(text) > 5 or text is null"), "")
-    assert few(left) == collections.Counter([(1, a), (3, b), (3, c), (None, d), (None, None), (5, e)])
-
-    df.write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert {x.doc_id for x in packed} <= {1, 3, 5, None} and {1, 3, 5} <= {x.doc_id for x in packed}
