@@ -2,8 +2,8 @@
 
 Weights of the three depend on how often the context was seen, one set for each power of two; they
 are learned by expectation-maximisation on deleted counts: every training occurrence is predicted
-from the counts without it. Counts come from all training texts. Tokens and bigrams are known by
-64-bit hashes.
+from the counts without it. Counts come from all training texts. Tokens are known by
+64-bit hashes, bigrams by a bucket and 48 bits that do not depend on it.
 
 Texts are read twice, for token counts and for bigrams. Bigrams are shuffled in packed blocks, one
 for each slice of texts and bucket of bigrams, which hold a slice's bigrams once, with the counts of
@@ -53,6 +53,16 @@ def _restored(data: bytes, kind: str, size: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, size).T).view(kind).ravel()
 
 
+def _identity(pairs: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """What tells bigrams of a bucket apart, and their buckets, from full hashes.
+
+    The two are independent: of t bigrams in a bucket each is taken for another with a chance of
+    t / 2**48, one in 140 million where a bucket is full, however many buckets there are.
+    """
+    home = (words.mix(pairs ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+    return pairs & np.uint64((1 << 48) - 1), home.astype(np.int64)
+
+
 def _found(table: tuple[np.ndarray, np.ndarray], asked: np.ndarray) -> np.ndarray:
     """Counts of the asked hashes, 0 where the sorted table lacks one."""
     keys, counts = table
@@ -116,18 +126,22 @@ def _blocks(rows: DataFrame, kind: str, known, total: int, distinct: int, bucket
             base = np.log10((cw + 0.5) / (total + 0.5 * (distinct + 1)))
             n = batch.num_rows
             doc = np.repeat(np.arange(n), np.diff(ends))
-            ids = batch.column("__row").to_numpy()
+            places = batch.column("__row").to_numpy()
             info = [np.diff(ends).astype(np.int64), np.bincount(doc, cw > 0, n).astype(np.int64), np.bincount(doc, base, n)]
             empty = pa.nulls(n, pa.binary())
-            spread = (words.mix(ids.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+            spread = (words.mix(places.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(spread), pa.array(np.full(n, ids[0] if n else 0)), batch.column("__row"), batch.column("__key"), batch.column("__train"), *[pa.array(x) for x in info], *[empty] * 7, *[pa.array(np.zeros(n, np.int32))] * 2], names
+                [pa.array(spread), pa.array(np.full(n, places[0] if n else 0)), batch.column("__row"), batch.column("__key"), batch.column("__train"), *[pa.array(x) for x in info], *[empty] * 7, *[pa.array(np.zeros(n, np.int32))] * 2], names
             )
-            pair = words.mix(words.mix(context) + token)
-            home = ((pair >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-            types, first, of = np.unique(pair, return_index=True, return_inverse=True)  # ascending, so bucket by bucket
+            pairs, at, of = np.unique(words.mix(words.mix(context) + token), return_index=True, return_inverse=True)
+            ids, home = _identity(pairs, buckets)
+            by = np.lexsort((ids, home))
+            rank = np.empty(len(by), np.int64)
+            rank[by] = np.arange(len(by))
+            of, types, first = rank[of], ids[by], at[by]
             seen = np.bincount(of, train[doc], len(types)).astype(np.int64)
-            edges = np.searchsorted(home[first], np.arange(buckets + 1))
+            edges = np.searchsorted(home[by], np.arange(buckets + 1))
+            home = home[by][of]
             order = np.argsort(home, kind="stable")  # by bucket, then by document
             cuts = np.searchsorted(home[order], np.arange(buckets + 1))
             out: list[list] = [[] for _ in range(10)]
@@ -135,7 +149,7 @@ def _blocks(rows: DataFrame, kind: str, known, total: int, distinct: int, bucket
                 at, lo, hi = order[cuts[b] : cuts[b + 1]], edges[b], edges[b + 1]
                 docs, uses = np.unique(doc[at], return_counts=True)
                 out[0].append(int(b))
-                out[1].append(_squeezed((ids[docs] - ids[0]).astype("<u8")))
+                out[1].append(_squeezed((places[docs] - places[0]).astype("<u8")))
                 # By context count and then ascending: both, as steps, take fewer bytes.
                 own = np.lexsort((types[lo:hi], cv[first[lo:hi]]))
                 place = np.empty(len(own), "<u4")
@@ -149,7 +163,7 @@ def _blocks(rows: DataFrame, kind: str, known, total: int, distinct: int, bucket
             m = len(out[0])
             blank = [pa.nulls(m, pa.int64()), pa.nulls(m, batch.column("__key").type), pa.nulls(m, pa.bool_()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64())]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.int32()), pa.array(np.full(m, ids[0] if n else 0)), *blank, *[pa.array(x, pa.binary()) for x in out[1:8]], pa.array(out[8], pa.int32()), pa.array(out[9], pa.int32())], names
+                [pa.array(out[0], pa.int32()), pa.array(np.full(m, places[0] if n else 0)), *blank, *[pa.array(x, pa.binary()) for x in out[1:8]], pa.array(out[8], pa.int32()), pa.array(out[9], pa.int32())], names
             )
 
     names = ["bucket", "slice", "row", "key", "train", "n_tokens", "n_known", "base", "rows", "types", "seen", "cv", "cw", "refs", "uses", "size", "docs"]
