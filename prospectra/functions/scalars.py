@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import functools
+import unicodedata
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,10 +15,6 @@ TRUE = ["1", "1.0", "true", "yes", "y", "drafted", "verified"]
 FALSE = ["0", "0.0", "false", "no", "n", "undrafted", "unverified"]
 #: Generational suffixes that a name key drops.
 SUFFIXES = ["jr", "sr", "ii", "iii", "iv"]
-#: Combining marks, which stand apart from their letters in a decomposed text.
-MARKS = r"[̀-ͯ]"
-
-
 def present(c: Column) -> Column:
     """The trimmed text, or null where it stands for a missing value."""
     text = F.trim(c.cast("string"))
@@ -44,14 +42,49 @@ def height_inches(c: Column) -> Column:
     return F.when(feet != "", feet.cast("double") * 12 + inches.cast("double")).otherwise(number(c))
 
 
+@functools.lru_cache(maxsize=1)
+def _folds() -> tuple[str, str, list[tuple[str, str]]]:
+    """Letters whose compatibility decomposition leaves one ASCII character, those characters, and what leaves several."""
+    blocks = [range(0xA0, 0x250), range(0x1E00, 0x1F00), range(0xFB00, 0xFB07), range(0xFF01, 0xFF5F)]
+    left = {chr(c): unicodedata.normalize("NFKD", chr(c)).encode("ascii", "ignore").decode() for block in blocks for c in block}
+    single = {c: t for c, t in left.items() if len(t) == 1}
+    return "".join(single), "".join(single.values()), [(c, t) for c, t in left.items() if len(t) > 1]
+
+
+def ascii_text(c: Column) -> Column:
+    """The text without accents and ligatures; characters that have no ASCII form are dropped."""
+    singles, plain, several = _folds()
+    text = F.translate(c.cast("string"), singles, plain)
+    # Ligatures and the like are rare: most texts skip the replacements.
+    replaced = functools.reduce(lambda t, pair: F.replace(t, F.lit(pair[0]), F.lit(pair[1])), several, text)
+    return F.regexp_replace(F.when(text.rlike(r"[^\x00-\x7F]"), replaced).otherwise(text), r"[^\x00-\x7F]", "")
+
+
 def name_key(c: Column) -> Column:
-    """A lower-case key of letters and digits without generational suffixes, for names of ASCII letters."""
-    tokens = F.split(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "), " ")
-    return F.array_join(F.filter(tokens, lambda t: ~t.isin(SUFFIXES)), "")
+    """A lower-case key of letters and digits, without accents and generational suffixes."""
+    words = F.regexp_replace(F.lower(ascii_text(c)), rf"\b({'|'.join(SUFFIXES)})\b", "")
+    return F.regexp_replace(words, "[^a-z0-9]", "")
 
 
 def slug(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    return F.regexp_replace(F.regexp_replace(F.lower(ascii_text(c)), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+
+
+def lookup(c: Column, table: Mapping[str, object]) -> Column:
+    """The table's value, null for other keys."""
+    return F.element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), c)
+
+
+def first_present(*columns: Column) -> Column:
+    """The first that is neither null nor blank."""
+    return F.coalesce(*[F.when(F.trim(c.cast("string")) != "", c) for c in columns])
+
+
+def surname(c: Column) -> Column:
+    """The key of the last word that is not a generational suffix; an empty text without one."""
+    tokens = F.regexp_extract_all(ascii_text(c), F.lit(r"([A-Za-z0-9]+(?:[-'][A-Za-z0-9]+)*)"))
+    keys = F.filter(F.transform(tokens, name_key), lambda t: t != "")
+    return F.coalesce(F.try_element_at(keys, F.lit(-1)), F.lit(""))
 
 
 def first_number(c: Column) -> Column:
@@ -97,11 +130,12 @@ def target_score(x: Column, target: Column, scale: Column, width: float = 1.75)
     return 100 * F.exp(-0.5 * (z / width) * (z / width))
 
 
-def interval_score(low: Column, high: Column, other_low: Column, other_high: Column, per_unit: float = 2.5) -> Column:
-    """100 if the middle lies inside the other range, 80 if both only overlap, else 100 less what the gap costs."""
-    middle = (low + high) / 2
-    gap = F.greatest(other_low - high, low - other_high)
-    return F.when((middle >= other_low) & (middle <= other_high), 100.0).when(gap <= 0, 80.0).otherwise(F.greatest(F.lit(0.0), 100 - per_unit * gap))
+def interval_score(low: Column, middle: Column, high: Column, other_low: Column, other_high: Column, per_unit: float = 2.5) -> Column:
+    """100 if ranges overlap and the middle lies inside the other one, 80 if they only overlap, else 100 less what the gap costs. The other range's ends may come in either order."""
+    first, last = F.least(other_low, other_high), F.greatest(other_low, other_high)
+    gap = F.greatest(first - high, low - last)
+    score = F.when(gap > 0, F.greatest(F.lit(0.0), 100 - per_unit * gap)).when((middle >= first) & (middle <= last), 100.0).otherwise(80.0)
+    return F.when(other_low.isNotNull() & other_high.isNotNull() & low.isNotNull() & middle.isNotNull() & high.isNotNull(), score)
 
 
 def weighted_mean(pairs: Sequence[tuple[Column, Column]]) -> Column:

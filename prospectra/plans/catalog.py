@@ -45,4 +45,4 @@ def oracle_sql() -> dict[str, str]:
 
 def _load() -> None:
     """Importing a plan module registers its queries."""
-    from prospectra.plans import aggregates, matching, models, ranking, scalars, statistics  # noqa: F401
+    from prospectra.plans import aggregates, matching, models, ranking, rules, scalars, statistics  # noqa: F401

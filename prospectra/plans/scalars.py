@@ -12,16 +12,15 @@ from prospectra.sources.tables import table
 
 @register(
     "name_key",
-    """SELECT s_suppkey, array_to_string(list_filter(string_split(regexp_replace(lower(s_name || ' Jr.'), '[^a-z0-9]+', ' ', 'g'), ' '),
-              lambda t: t NOT IN ('jr', 'sr', 'ii', 'iii', 'iv')), '') AS name_key FROM supplier""",
+    """SELECT s_suppkey, regexp_replace(regexp_replace(lower(strip_accents(s_name || ' Núñez-Ålund Jr.')), '\\b(jr|sr|ii|iii|iv)\\b', '', 'g'), '[^a-z0-9]', '', 'g') AS name_key FROM supplier""",
 )
 def name_key(spark: SparkSession, root: str) -> DataFrame:
-    return table(spark, root, "supplier").select("s_suppkey", S.name_key(F.concat("s_name", F.lit(" Jr."))).alias("name_key"))
+    return table(spark, root, "supplier").select("s_suppkey", S.name_key(F.concat("s_name", F.lit(" Núñez-Ålund Jr."))).alias("name_key"))
 
 
-@register("slugify", "SELECT p_partkey, regexp_replace(regexp_replace(lower(p_type || ' ' || p_brand), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM part")
+@register("slugify", "SELECT p_partkey, regexp_replace(regexp_replace(lower(strip_accents(p_type || ' é ' || p_brand || '!')), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug FROM part")
 def slugify(spark: SparkSession, root: str) -> DataFrame:
-    return table(spark, root, "part").select("p_partkey", S.slug(F.concat_ws(" ", "p_type", "p_brand")).alias("slug"))
+    return table(spark, root, "part").select("p_partkey", S.slug(F.concat("p_type", F.lit(" é "), "p_brand", F.lit("!"))).alias("slug"))
 
 
 @register("first_number", "SELECT p_partkey, try_cast(nullif(regexp_extract(p_brand, '(-?[0-9]+(?:\\.[0-9]+)?)', 1), '') AS DOUBLE) AS number FROM part")
