@@ -63,12 +63,10 @@ def best_f1(df: DataFrame, groups: Sequence[str], score: str, label: str) -> Dat
 def board(df: DataFrame, groups: Sequence[str], score: str, label: str, tie: str, k: int) -> DataFrame:
     """precision, recall and binary NDCG of the k highest scores of each group."""
     w = Window.partitionBy(*groups).orderBy(F.desc(score), F.asc(tie))
-    ranked = df.withColumn("__at", F.row_number().over(w))
-    per = ranked.groupBy(*groups).agg(
-        F.sum(F.when(F.col("__at") <= k, F.col(label)).otherwise(0)).alias("__hits"),
-        F.sum(F.when(F.col("__at") <= k, F.col(label) / F.log2(F.col("__at") + 1)).otherwise(0.0)).alias("__dcg"),
-        F.sum(label).alias("__all"),
-        F.least(F.lit(k), F.count("*")).alias("__k"),
-    )
+    # The limit reaches below the window: a task keeps k rows of a group, however many there are.
+    top = df.withColumn("__at", F.row_number().over(w)).where(F.col("__at") <= k)
+    best = top.groupBy(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(groups)]).agg(F.sum(label).alias("__hits"), F.sum(F.col(label) / F.log2(F.col("__at") + 1)).alias("__dcg"))
+    totals = df.groupBy(*groups).agg(F.sum(label).alias("__all"), F.least(F.lit(k), F.count("*")).alias("__k"))
+    per = totals.join(best, [F.col(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(groups)])
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.lit(k), F.greatest(F.col("__all"), F.lit(1))).cast("int")), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1))
     return per.select(*groups, (F.col("__hits") / F.col("__k")).alias("precision"), F.try_divide(F.col("__hits"), F.col("__all")).alias("recall"), F.when(F.col("__all") > 0, F.col("__dcg") / ideal).alias("ndcg"))

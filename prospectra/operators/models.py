@@ -1,8 +1,9 @@
 """Logistic models fitted side by side: cross-validation folds and bootstrap replicates in shared passes.
 
-A plan says which periods each fit learns from and with what weight. All fits advance together: a
-pass over the rows sums every fit's gradient and curvature, which are a few numbers per fit, and
-the driver takes one Newton step for each. Rows are never gathered.
+A plan says which periods each fit learns from and with what weight. Fits advance together: a pass
+over the rows sums every fit's gradient and curvature, which are a few numbers per fit, and the
+driver takes one Newton step for each. Rows are never gathered. More fits, or more features, than
+one pass can sum for take several passes.
 """
 
 from __future__ import annotations
@@ -17,8 +18,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Fits and features in one call, at most; they bound what the driver gets from a pass.
-MOST_FITS, MOST_FEATURES = 512, 40
+from prospectra.operators.robust import counted_quantiles
+
+#: Numbers that the driver gets from a pass, at most, and sums in one aggregate.
+MOST_NUMBERS, MOST_SUMS = 500_000, 800
 
 Plan = list[tuple[int, int, float]]
 
@@ -68,15 +71,24 @@ def fit_logistic(rows: DataFrame, plan: Plan, features: Sequence[str], label: st
     over them; rows without a label are left out. Fits without rows of both classes are left out.
     """
     fits, k = sorted({f for f, _, _ in plan}), len(features)
-    if len(fits) > MOST_FITS or k > MOST_FEATURES:
-        raise ValueError(f"at most {MOST_FITS} fits and {MOST_FEATURES} features")
+    at_once = max(1, MOST_NUMBERS // ((k + 1) * (k + 2) // 2 + k + 1))
+    if len(fits) > at_once:
+        parts = [set(fits[i : i + at_once]) for i in range(0, len(fits), at_once)]
+        each = [fit_logistic(rows, [x for x in plan if x[0] in part], features, label, period, l2, rounds) for part in parts]
+        return Fitted(list(features), {f: v for one in each for f, v in one.by_fit.items()})
     spark = rows.sparkSession
     used = spark.createDataFrame(plan, "__fit bigint, __period bigint, __weight double")
     base = rows.where(F.col(label).isNotNull()).select(F.col(period).cast("bigint").alias("__at"), F.col(label).cast("double").alias("__y"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)])
-    # The plan has at most MOST_FITS fits times the periods.
+    # A plan has a row per fit and period of at most MOST_NUMBERS fits.
     dealt = base.join(F.broadcast(used), F.col("__at") == F.col("__period"))
-    medians = dealt.groupBy("__fit").agg(*[F.coalesce(F.percentile_approx(f"x{i}", 0.5, 10_000), F.lit(0.0)).alias(f"m{i}") for i in range(k)], F.min("__y").alias("lo"), F.max("__y").alias("hi"))
-    found = {r["__fit"]: np.array([r[f"m{i}"] for i in range(k)]) for r in medians.where("lo < hi").collect()}
+    classes = dealt.groupBy("__fit").agg(F.min("__y").alias("lo"), F.max("__y").alias("hi")).where("lo < hi")
+    found = {r["__fit"]: np.zeros(k) for r in classes.collect()}
+    # Values are counted by period before fits share them.
+    long = base.unpivot("__at", [f"x{i}" for i in range(k)], "__name", "__x").where("__x is not null").groupBy("__at", "__name", "__x").agg(F.count("*").alias("__times"))
+    shared = long.join(F.broadcast(used), F.col("__at") == F.col("__period"))
+    for r in counted_quantiles(shared, ["__fit", "__name"], "__x", {"m": 0.5}, "__times").collect():
+        if r["__fit"] in found:
+            found[r["__fit"]][int(r["__name"][1:])] = r["m"]
 
     def against(values: dict[int, np.ndarray], name: str, to: DataFrame) -> DataFrame:
         side = spark.createDataFrame([(f, v.tolist()) for f, v in values.items()], f"__f bigint, {name} array<double>")
@@ -102,9 +114,12 @@ def fit_logistic(rows: DataFrame, plan: Plan, features: Sequence[str], label: st
         p = now.withColumn("__p", 1 / (1 + F.exp(-z)))
         slope = [F.sum(w * (F.col("__p") - F.col("__y")) * F.col(f"z{i}")).alias(f"g{i}") for i in range(k + 1)]
         bend = [F.sum(w * F.col("__p") * (1 - F.col("__p")) * F.col(f"z{i}") * F.col(f"z{j}")).alias(f"h{i}_{j}") for i in range(k + 1) for j in range(i + 1)]
-        steepest = 0.0
-        for r in p.groupBy("__fit").agg(*slope, *bend).collect():
-            f = r["__fit"]
+        sums, steepest = slope + bend, 0.0
+        got: dict[int, dict[str, float]] = {f: {} for f in found}
+        for at in range(0, len(sums), MOST_SUMS):
+            for r in p.groupBy("__fit").agg(*sums[at : at + MOST_SUMS]).collect():
+                got[r["__fit"]] |= r.asDict()
+        for f, r in got.items():
             g = np.array([r[f"g{i}"] for i in range(k + 1)]) / total[f] + penalty * weights[f]
             h = np.array([[r[f"h{max(i, j)}_{min(i, j)}"] for j in range(k + 1)] for i in range(k + 1)]) / total[f]
             step = np.linalg.solve(h + np.diag(penalty + 1e-12), g)

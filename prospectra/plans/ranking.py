@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prospectra.operators import windows
+from prospectra.operators import rosters, windows
 from prospectra.plans.catalog import register
 from prospectra.sources.tables import table
 
@@ -97,7 +97,7 @@ def movement_delta(spark: SparkSession, root: str) -> DataFrame:
 )
 def capital_decay(spark: SparkSession, root: str) -> DataFrame:
     rows = table(spark, root, "orders").select(F.year("o_orderdate").cast("long").alias("year"), "o_orderpriority", "o_totalprice", "o_orderkey")
-    ranked = windows.numbered(rows, ["year"], [F.desc("o_totalprice"), F.asc("o_orderkey")], "r")
+    ranked = rosters.counted_rank(rows, ["year"], ["o_totalprice"], [F.asc("o_orderkey")], "r")
     return ranked.groupBy("year", "o_orderpriority").agg(F.round(F.sum(F.exp(-(F.col("r") - 1) / 80.0)), 6).alias("capital"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from prospectra.functions import scalars as S
 from prospectra.operators import metrics
-from prospectra.operators.robust import robust_scale
+from prospectra.operators.robust import counted_quantiles, robust_scale
 from prospectra.plans.catalog import register
 from prospectra.sources.tables import table
 
@@ -25,9 +25,8 @@ def scored(spark: SparkSession, root: str) -> DataFrame:
     rounded=["q20", "q50", "q80", "iqr"], digits=6
 )
 def quantiles(spark: SparkSession, root: str) -> DataFrame:
-    q = F.percentile("c_acctbal", F.array(*[F.lit(x) for x in (0.2, 0.5, 0.8, 0.25, 0.75)]))
-    rows = table(spark, root, "customer").groupBy("c_mktsegment").agg(q.alias("q"))
-    return rows.select("c_mktsegment", F.col("q")[0].alias("q20"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q80"), (F.col("q")[4] - F.col("q")[3]).alias("iqr"))
+    rows = counted_quantiles(table(spark, root, "customer"), ["c_mktsegment"], "c_acctbal", {"q20": 0.2, "q50": 0.5, "q80": 0.8, "q25": 0.25, "q75": 0.75})
+    return rows.select("c_mktsegment", "q20", "q50", "q80", (F.col("q75") - F.col("q25")).alias("iqr"))
 
 
 @register(

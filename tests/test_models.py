@@ -83,3 +83,16 @@ def test_record_files(spark, tmp_path):
     records.write_records(df, f"{tmp_path}/out.jsonl")
     assert sorted(map(tuple, records.read_records(spark, f"{tmp_path}/out.jsonl").select("name", "week").collect()), key=str) == sorted(want, key=str)
     assert records.template(spark, "name string").count() == 0
+
+
+def test_fits_in_several_passes(spark, monkeypatch):
+    """One fit at a time, and a few sums at a time, give what one pass gives."""
+    rows = spark.createDataFrame([(i % 4, int((i * 7 % 11) > 5), float(i % 13) if i % 9 else None, float(i * i % 17)) for i in range(400)], "t int, y int, v double, u double")
+    plan = models.expanding_plan([0, 1, 2, 3])
+    want = models.fit_logistic(rows, plan, ["v", "u"], "y", "t").linear()
+    monkeypatch.setattr(models, "MOST_NUMBERS", 1)
+    monkeypatch.setattr(models, "MOST_SUMS", 4)
+    got = models.fit_logistic(rows, plan, ["v", "u"], "y", "t").linear()
+    assert set(got) == set(want) == {1, 2, 3}
+    for f, (w, b, m) in want.items():
+        assert got[f][2] == m and abs(got[f][1] - b) < 1e-9 and all(abs(x - y) < 1e-9 for x, y in zip(got[f][0], w))
