@@ -196,6 +196,11 @@ def test_token_counts_equal_the_library(documents, empty):
     assert token_counts.count_tokens(empty).count() == 0
 
 
+def test_only_vocabularies_that_drop_spaces_are_counted_by_words():
+    assert token_counts.splits_at_space(vocabularies.fast_tokenizer("word_bpe_49k.json"))
+    assert not token_counts.splits_at_space(vocabularies.fast_tokenizer("byte_bpe_50k.json"))
+
+
 def test_token_counts_of_special_strings_and_odd_spaces(spark):
     library = vocabularies.fast_tokenizer("word_bpe_49k.json")
     odd = ["a<|endoftext|>b <|startoftext|>", "x y　z", "it's we'll 12345", "é İI", "a\x00b\x1cc\x85d", "​﻿ q", "<|endof text|>"]
