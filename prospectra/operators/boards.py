@@ -104,3 +104,31 @@ def outcome_states(players: DataFrame, games: DataFrame, complete: DataFrame, pl
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     return windows.best_rows(df, keys, order)
+
+
+def benchmarks(candidates: DataFrame, references: DataFrame, key: str, position: str, lower: Sequence[str], least: int = 5) -> DataFrame:
+    """(key, position, metric, value, reference, peers, score): where a value stands among the first reference that has enough values of its position and metric.
+
+    `candidates` is long, with metric and value; `references` has the position, metric, value, reference
+    and priority. The score is the share below and half of the equal ones; of metrics in `lower`, less is
+    better. Values without a reference have a null score.
+    """
+    keys = [position, "metric"]
+    sound = references.where("value is not null and not isnan(value)")
+    sizes = sound.groupBy(*keys, "priority", "reference").agg(F.count("*").alias("peers")).where(F.col("peers") >= least)
+    chosen = sizes.groupBy(*keys).agg(F.min(F.struct("priority", "reference", "peers")).alias("c")).select(*keys, "c.*")
+    counts = sound.join(chosen.select(*keys, "priority"), [*keys, "priority"]).groupBy(*keys, "value").agg(F.count("*").alias("n"))
+    # Values that are asked for stand among the counted ones: the window runs over distinct values only.
+    asked = candidates.where("value is not null and not isnan(value)").select(*keys, "value").distinct().withColumn("n", F.lit(0))
+    merged = counts.unionByName(asked).groupBy(*keys, "value").agg(F.sum("n").alias("n"))
+    below = F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = merged.withColumn("below", below)
+    joined = candidates.join(placed, [*keys, "value"], "left").join(chosen.drop("priority"), keys, "left")
+    share = 100.0 * (F.col("below") + 0.5 * F.col("n")) / F.col("peers")
+    return joined.select(key, *keys, "value", "reference", "peers", F.when(F.col("metric").isin(*lower), 100 - share).otherwise(share).alias("score"))
+
+
+def evaluated(candidates: DataFrame, references: DataFrame, specs: DataFrame, key: str, position: str, lower: Sequence[str], weights: Mapping[str, float]) -> DataFrame:
+    """(key, profile, evidence) of long candidates: benchmarks, then categories, then one profile."""
+    scored = benchmarks(candidates, references, key, position, lower)
+    return profile_scores(category_scores(scored, specs, key), key, weights)
