@@ -280,9 +280,11 @@ def _blocks(members: DataFrame) -> DataFrame:
     alone = F.when(F.col("parts") > 1, F.col("root"))
     block = F.when(F.col("parts") > 1, F.xxhash64("root", F.pmod(F.xxhash64("node"), F.col("parts"))).bitwiseOR(F.lit(-(1 << 63)))).otherwise(F.pmod(F.xxhash64("root"), F.col("blocks")))
     dealt = scratch.stored(dealt.select("cell", "node", "root", "members.n", "reach", block.alias("block"), alone.alias("alone")))
-    all_blocks = dealt.groupBy(F.col("cell").alias("c"), F.col("block").alias("other")).agg(F.first("alone").alias("its")).join(dealt.select(F.col("cell").alias("d")).distinct(), F.col("c") == F.col("d")).drop("d")
+    all_blocks = dealt.groupBy(F.col("cell").alias("c"), F.col("block").alias("other")).agg(F.first("alone").alias("its"))
     paired = dealt.join(all_blocks, F.col("cell") == F.col("c")).where(F.col("alone").isNull() | F.col("its").isNull() | (F.col("alone") != F.col("its")))
-    return scratch.stored(paired.select("cell", "node", "root", "n", "reach", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")))
+    spread = scratch.stored(paired.select("cell", "node", "root", "n", "reach", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")))
+    scratch.drop(dealt)
+    return spread
 
 
 def _searched(members: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
@@ -320,7 +322,9 @@ def _searched(members: DataFrame, vectors: DataFrame, percent: int) -> DataFrame
         found = np.concatenate(pairs)
         return pa.table({"a": found[:, 0], "b": found[:, 1]})
 
-    return full.groupBy("bundle").applyInArrow(lambda t: search(t), "a bigint, b bigint")
+    pairs = scratch.stored(full.groupBy("bundle").applyInArrow(lambda t: search(t), "a bigint, b bigint"))
+    scratch.drop(spread)
+    return pairs
 
 
 def near_join(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
@@ -359,7 +363,7 @@ def near_join(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 4
     named = classes.select("node", "key", "t")
     needed = scratch.stored(named.join(open_cells.select("node").distinct(), "node"))
     vectors = scratch.stored(_sets(df, needed, key, text, n, vectors=True).dropDuplicates(["node"]))
-    pairs = scratch.stored(_searched(open_cells, vectors, percent))
+    pairs = _searched(open_cells, vectors, percent)
     asked = scratch.stored(named.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node"))
     sets = scratch.stored(_sets(df, asked, key, text, n).dropDuplicates(["node"]))
     more = scratch.stored(_verified(pairs, sets, percent))
