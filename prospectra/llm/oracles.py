@@ -83,3 +83,36 @@ n AS (SELECT x AS vec_id, count(*) AS n FROM l GROUP BY x)
 SELECT c.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.component_id, c.vec_id = c.component_id AS kept
 FROM c LEFT JOIN n ON n.vec_id = c.vec_id
 """
+
+
+def _codes(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096) -> str:
+    """Lloyd rounds on integers, one pair of tables each."""
+    head = f"""
+WITH v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len([c FOR c IN embedding IF c IS NULL OR NOT isfinite(c)]) = 0),
+x AS MATERIALIZED (
+  SELECT vec_id, label, p, [CAST(floor({scale} * c) AS BIGINT) FOR c IN e[p * len(e) // {parts} + 1:(p + 1) * len(e) // {parts}]] AS x
+  FROM v, (SELECT unnest(range({parts})) AS p)),
+b0 AS MATERIALIZED (SELECT p, k, x FROM (SELECT p, x, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS k FROM x) WHERE k < {entries})"""
+    step = """,
+a{r} AS MATERIALIZED (
+  SELECT vec_id, label, p, x, min({{'d': d, 'k': k}}) AS best FROM (
+    SELECT x.vec_id, x.label, x.p, x.x, b.k, CAST(list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(x.x, b.x)]) AS BIGINT) AS d
+    FROM x JOIN b{r} b ON x.p = b.p) GROUP BY vec_id, label, p, x)"""
+    move = """,
+m{s} AS (
+  SELECT p, k, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x FROM (
+    SELECT p, best.k AS k, i, CAST(sum(c) AS BIGINT) AS s, count(*) AS n FROM (SELECT p, best, unnest(x) AS c, unnest(range(1, len(x) + 1)) AS i FROM a{r}) GROUP BY 1, 2, 3)
+  GROUP BY p, k),
+b{s} AS MATERIALIZED (SELECT b.p, b.k, coalesce(m.x, b.x) AS x FROM b{r} b LEFT JOIN m{s} m ON m.p = b.p AND m.k = b.k)"""
+    body = "".join(step.format(r=r) + move.format(r=r, s=r + 1) for r in range(rounds)) + step.format(r=rounds)
+    return head + body + f""",
+c AS (SELECT vec_id, label, string_agg(lower(printf('%02x', best.k)), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id, label),
+l AS (SELECT label, CAST(sum(error) AS BIGINT) AS label_error FROM c GROUP BY label),
+t AS (SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY p, k, i)) AS codebooks_sha256 FROM (SELECT p, k, unnest(x) AS v, unnest(range(1, len(x) + 1)) AS i FROM b{rounds}))
+SELECT c.vec_id, c.code, c.error, l.label_error, t.codebooks_sha256 FROM c JOIN l ON l.label IS NOT DISTINCT FROM c.label, t
+"""
+
+
+SQL["op11_vector_codes"] = _codes()

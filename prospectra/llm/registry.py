@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 from collections.abc import Callable
 from pathlib import Path
@@ -9,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prospectra.llm import chat, language_model, mixing, near_join, oracles, packing, quality_model, quality_rules, token_counts, toxicity, vector_dedup
+from prospectra.llm import alignment, bpe, chat, language_model, mixing, near_join, oracles, packing, quality_model, quality_rules, token_counts, toxicity, vector_codes, vector_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 _ROOT = str(Path(__file__).resolve().parents[2])
@@ -76,8 +77,27 @@ def op10_mixing(spark: SparkSession, root: str) -> DataFrame:
     return mixing.mix(_table(spark, root, "documents"), keep=["doc_id"]).drop("copies")
 
 
+def op11_vector_codes(spark: SparkSession, root: str) -> DataFrame:
+    made = vector_codes.compress(_table(spark, root, "embeddings"))
+    digest = hashlib.sha256(vector_codes.books_text(made.books).encode()).hexdigest()
+    code = F.concat_ws("", F.transform("code", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))))
+    rows = vector_codes.label_errors(made.rows)
+    return rows.select(F.col("key").alias("vec_id"), code.alias("code"), "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
+
+
+def op12_token_alignment(spark: SparkSession, root: str) -> DataFrame:
+    aligned = alignment.align(_table(spark, root, "documents"))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    return alignment.weigh_links(aligned.withColumn("groups_sha256", digest).drop("groups"))
+
+
+def op13_bpe_round_trip(spark: SparkSession, root: str) -> DataFrame:
+    coded = bpe.decode_ids(bpe.encode_texts(_table(spark, root, "documents"), packed=True))
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Query]:
-    found = [op1_ngram_jaccard_join, op2_lm_scoring, op3_toxicity, op4_best_fit_packing, op5_token_counts, op6_quality_classifier, op7_embedding_near_dedup, op8_chat_formatting, op9_quality_rules, op10_mixing]
+    found = [op1_ngram_jaccard_join, op2_lm_scoring, op3_toxicity, op4_best_fit_packing, op5_token_counts, op6_quality_classifier, op7_embedding_near_dedup, op8_chat_formatting, op9_quality_rules, op10_mixing, op11_vector_codes, op12_token_alignment, op13_bpe_round_trip]
     return {q.__name__: q for q in found}
 
 

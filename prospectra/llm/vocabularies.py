@@ -37,3 +37,19 @@ def rank_encoding(vocabulary: str):
     with open(place(vocabulary), "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
     return tiktoken.Encoding("byte_level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+@functools.lru_cache(maxsize=1)
+def byte_of() -> dict[str, int]:
+    """The byte that each character of the byte-level alphabet stands for: printable Latin ones themselves, the others from U+0100 on in order."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(rest)}
+
+
+@functools.lru_cache(maxsize=2)
+def piece_model(vocabulary: str):
+    """A `sentencepiece` model."""
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=place(vocabulary))
