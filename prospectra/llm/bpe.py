@@ -1,10 +1,11 @@
 """Byte-pair encoding by tries of words, and decoding of ids.
 
-Texts are cut where a vocabulary never joins, and a task encodes each distinct word once. Its new
-words go into a trie; a depth-first pass gives every new node the last token of the encoding of the
-prefix that it stands for, and the node where that token begins. A prefix that many words share is
-so encoded once. A token may follow another if no merge crosses between them before both are whole,
-and exactly one token that ends at a node may follow what precedes it: that is its last token.
+Texts are cut where a vocabulary never joins, and a task encodes each distinct word once. The words
+of a batch make a trie, held as its words in order; a depth-first pass gives every node the last
+token of the encoding of the prefix that it stands for, and that token's length, which lead back to
+the whole encoding. A prefix that many words share is so encoded once. A token may follow another if
+no merge crosses between them before both are whole, and exactly one token that ends at a node may
+follow what precedes it: that is its last token.
 """
 
 from __future__ import annotations
@@ -12,7 +13,8 @@ from __future__ import annotations
 import functools
 import json
 import re
-from collections.abc import Iterable, Iterator
+import struct
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,54 +24,50 @@ from pyspark.sql import functions as F
 
 from prospectra.llm import token_counts, vocabularies, words
 
-#: Words and trie nodes that a task remembers, and the longest word, in symbols, that it does.
-REMEMBERED, NODES, LONGEST = 400_000, 1_000_000, 64
+#: Words that a task remembers, and the longest, in bytes, that it does; remembered answers of what may follow what.
+REMEMBERED, LONGEST, ANSWERS = 200_000, 64, 300_000
 #: Where a text can be cut if the vocabulary keeps white space: before a single space between two other characters.
 _SINGLE_SPACE = re.compile(r"(?<=\S)(?= \S)")
+_SPACE = re.compile(r"\s")
 
 
 class Merges:
     """The merge table of a vocabulary file, and which tokens may follow which.
 
-    A symbol is a character of the byte-level alphabet, or one that ends a word where the
-    vocabulary marks word ends; tokens are known by their symbols.
+    Pieces are in the byte-level alphabet. Where the vocabulary marks word ends, a piece's last
+    character is a symbol of its own, so `inner` and `final` tokens differ; elsewhere they are the same.
     """
 
     def __init__(self, model: dict):
         if model["type"] != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges")):
             raise ValueError("only byte-level merge tables without unknown tokens, prefixes or fallbacks")
         vocab, end = model["vocab"], model.get("end_of_word_suffix") or ""
-        self.ends = bool(end)
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         made = {a + b for a, b in pairs}
         base = [t for t in vocab if t not in made]
-        #: Each symbol is one private character: twice the code point, and one more where it ends a word.
-        symbols = {vocab[t]: (chr(2 * ord(t[0]) + 1) if self.ends and t[1:] == end else chr(2 * ord(t))) for t in base if len(t) == 1 or (self.ends and t[1:] == end)}
-        if len(symbols) != len(base):
+        #: What each token spells, and whether it ends a word.
+        self.spelled: dict[int, tuple[str, bool]] = {vocab[t]: (t[0], bool(end) and t[1:] == end) for t in base if len(t) == 1 or (end and t[1:] == end)}
+        if len(self.spelled) != len(base):
             raise ValueError("the vocabulary has tokens that no merge makes")
         never = len(pairs)
-        self.spelled: dict[int, str] = symbols
         self._rank: dict[tuple[int, int], int] = {}
         #: The tokens along the left and the right edge of each token's merges, each with the rank of the merge that ends it.
-        self._left: dict[int, list[tuple[int, int]]] = {i: [(i, never)] for i in symbols}
-        self._right: dict[int, list[tuple[int, int]]] = {i: [(i, never)] for i in symbols}
+        self._left: dict[int, list[tuple[int, int]]] = {i: [(i, never)] for i in self.spelled}
+        self._right: dict[int, list[tuple[int, int]]] = {i: [(i, never)] for i in self.spelled}
         for rank, (a, b) in enumerate(pairs):
             x, y, z = vocab[a], vocab[b], vocab[a + b]
-            if z in self.spelled or x not in self.spelled or y not in self.spelled:
+            if z in self.spelled or x not in self.spelled or y not in self.spelled or self.spelled[x][1]:
                 raise ValueError("merges must make each token once, from tokens made before")
             self._rank[x, y] = rank
-            self.spelled[z] = self.spelled[x] + self.spelled[y]
+            self.spelled[z] = (self.spelled[x][0] + self.spelled[y][0], self.spelled[y][1])
             self._left[z] = [*self._left[x][:-1], (x, rank), (z, never)]
             self._right[z] = [*self._right[y][:-1], (y, rank), (z, never)]
-        self.token = {s: i for i, s in self.spelled.items()}
-        self.longest = max(map(len, self.token), default=1)
+        self.inner = {text: i for i, (text, ends) in self.spelled.items() if not ends}
+        self.final = {text: i for i, (text, ends) in self.spelled.items() if ends} if end else self.inner
+        #: The tokens by what they spell, and -1 for what only ends one: nothing longer has to be looked up than these.
+        self._tails_inner, self._tails_final = self._tails(self.inner), self._tails(self.final)
         self._follows: dict[tuple[int, int], bool] = {}
 
-    def symbols(self, piece: str) -> str:
-        """The symbols of a piece in the byte-level alphabet."""
-        plain = "".join([chr(2 * ord(c)) for c in piece])
-        return plain[:-1] + chr(ord(plain[-1]) + 1) if self.ends and plain else plain
-
     def follows(self, first: int, second: int) -> bool:
         """Whether two tokens side by side are what their joined symbols encode to."""
         known = self._follows.get((first, second))
@@ -82,101 +80,62 @@ class Merges:
                     # Of equal merges the leftmost comes first: one inside the first token, before one inside the second.
                     if crossing is not None and crossing < a_ends and crossing <= b_ends:
                         known = False
+            if len(self._follows) >= ANSWERS:
+                self._follows.clear()
             self._follows[first, second] = known
         return known
 
-    def last(self, path: str, tokens: list[int]) -> tuple[int, int]:
-        """The last token of the encoding of `path` and its length, from the last tokens of its proper prefixes.
-
-        `tokens[k]` is that of the first k symbols; only the end of `path` that a token can cover has to be given,
-        with as many `tokens`.
-        """
-        n = len(path)
-        for size in range(min(n, self.longest), 0, -1):
-            token = self.token.get(path[n - size :])
-            if token is not None and (tokens[n - size] < 0 or self.follows(tokens[n - size], token)):
-                return token, size
+    @staticmethod
+    def _tails(table: dict[str, int]) -> dict[str, int]:
+        return dict.fromkeys((text[at:] for text in table for at in range(1, len(text))), -1) | table
+
+    def last(self, piece: str, n: int, tokens: list[int], final: bool) -> tuple[int, int]:
+        """The last token of the encoding of the first n characters and its length; tokens[k] is that of the first k."""
+        known = (self._tails_final if final else self._tails_inner).get
+        follows, at = self._follows.get, n
+        while at:
+            at -= 1
+            token = known(piece[at:n])
+            if token is None:
+                break
+            if token >= 0:
+                if at == 0:
+                    return token, n
+                fits = follows((tokens[at], token))
+                if fits or (fits is None and self.follows(tokens[at], token)):
+                    return token, n - at
         raise AssertionError("every symbol is a token")
 
 
-class Trie:
-    """Prefixes of words; each node has the last token of its prefix and the node where that token begins."""
-
-    def __init__(self, merges: Merges):
-        self.merges = merges
-        self.clear()
-
-    def clear(self) -> None:
-        self.children: list[dict[str, int] | None] = [None]
-        self.token, self.begins = [-1], [0]
-
-    def insert(self, symbols: Iterable[str]) -> list[int]:
-        """The nodes of the words, after one depth-first pass over what was not there before."""
-        roots: dict[int, tuple[str, list[int]]] = {}
-        ends = []
-        for word in symbols:
-            node, at, passed, fresh = 0, 0, [0], False
-            for at, symbol in enumerate(word):
-                below = self.children[node]
-                if below is None:
-                    below = self.children[node] = {}
-                child = below.get(symbol)
-                if child is None:
-                    child = below[symbol] = len(self.token)
-                    self.children.append(None)
-                    self.token.append(-1)
-                    self.begins.append(-1)
-                    if not fresh and self.begins[node] >= 0:
-                        roots[child] = (word[: at + 1], passed[:])
-                    fresh = True
-                node = child
-                passed.append(node)
-            ends.append(node)
-        for root, (path, passed) in roots.items():
-            self._spread(root, path, passed)
-        return ends
-
-    def _spread(self, root: int, path: str, passed: list[int]) -> None:
-        """Gives a new node and all below it their last tokens, depth first. `passed` are the nodes above, from the trie's root."""
-        reach = self.merges.longest
-        above = list(passed)
-        tokens = [self.token[n] for n in above]
-        stack = [(root, len(path) - 1, path[-1])]
-        line = list(path[:-1])
-        while stack:
-            node, depth, symbol = stack.pop()
-            del line[depth:], above[depth + 1 :], tokens[depth + 1 :]
-            line.append(symbol)
-            low = max(0, depth + 1 - reach)
-            token, size = self.merges.last("".join(line[low:]), tokens[low:])
-            self.token[node], self.begins[node] = token, above[depth + 1 - size]
-            above.append(node)
-            tokens.append(token)
-            for s, child in (self.children[node] or {}).items():
-                stack.append((child, depth + 1, s))
-
-    def ids(self, node: int) -> list[int]:
-        """The encoding of a node's prefix, from last tokens back to the root."""
-        out = []
-        while node:
-            out.append(self.token[node])
-            node = self.begins[node]
-        return out[::-1]
-
+def encode_trie(merges: Merges, pieces: list[str]) -> list[list[int]]:
+    """The ids of distinct pieces in ascending order, which is the depth-first order of their trie.
 
-def chain(merges: Merges, symbols: str) -> list[int]:
-    """The encoding of one long word, as a trie of a single branch gives it, in memory of a few numbers per symbol."""
+    A node is a prefix; the nodes above the one that is visited are kept with the last token of
+    their encoding and its length. What a piece shares with the one before it is a path of nodes
+    that have been visited already, and is not encoded again.
+    """
     tokens, sizes = [-1], [0]
-    for n in range(1, len(symbols) + 1):
-        low = max(0, n - merges.longest)
-        token, size = merges.last(symbols[low:n], tokens[low:])
-        tokens.append(token)
-        sizes.append(size)
-    out, n = [], len(symbols)
-    while n:
-        out.append(tokens[n])
-        n -= sizes[n]
-    return out[::-1]
+    before, out = "", []
+    for piece in pieces:
+        n = len(piece)
+        shared, most = 0, min(n - 1, len(tokens) - 1)
+        while shared < most and piece[shared] == before[shared]:
+            shared += 1
+        del tokens[shared + 1 :], sizes[shared + 1 :]
+        for k in range(shared + 1, n):
+            token, size = merges.last(piece, k, tokens, False)
+            tokens.append(token)
+            sizes.append(size)
+        ids, at = [], n
+        if n:
+            token, size = merges.last(piece, n, tokens, True)
+            ids, at = [token], n - size
+        while at:
+            ids.append(tokens[at])
+            at -= sizes[at]
+        out.append(ids[::-1])
+        before = piece
+    return out
 
 
 class Encoder:
@@ -187,7 +146,6 @@ class Encoder:
         with open(vocabularies.place(vocabulary), encoding="utf-8") as file:
             described = json.load(file)
         self.merges = Merges(described["model"])
-        self.trie = Trie(self.merges)
         self.known: dict[bytes, bytes] = {}
         added = described.get("added_tokens") or []
         if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or re.search(r"\s", t["content"]) for t in added):
@@ -202,6 +160,9 @@ class Encoder:
             return text.split()
         return [p.encode() for p in _SINGLE_SPACE.split(text.decode())] if text else []
 
+    def _normal(self, text: str) -> str:
+        return self.library.normalizer.normalize_str(text) if self.library.normalizer else text
+
     def _pieces(self, word: str) -> list[str | int]:
         """Special tokens as ids, and the pieces between them."""
         found: list[str | int] = []
@@ -209,23 +170,38 @@ class Encoder:
             if part in self.added:
                 found.append(self.added[part])
             elif part:
-                normal = self.library.normalizer.normalize_str(part) if self.library.normalizer else part
-                found += [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
+                found += [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(self._normal(part))]
         return found
 
-    def learn(self, new: Iterable[bytes]) -> None:
-        """Encodes words and remembers them until `forget` is called."""
-        if len(self.trie.token) > NODES:
-            self.trie.clear()
-        parts = {w: self._pieces(w.decode()) for w in new}
-        spelled = {p: self.merges.symbols(p) for ps in parts.values() for p in ps if isinstance(p, str)}
-        short = [p for p, s in spelled.items() if len(s) <= LONGEST]
-        code = dict(zip(short, map(self.trie.ids, self.trie.insert([spelled[p] for p in short])), strict=True))
-        for word, ps in parts.items():
-            ids: list[int] = []
-            for p in ps:
-                ids += [p] if isinstance(p, int) else code[p] if p in code else chain(self.merges, spelled[p])
-            self.known[word] = np.array(ids, "<u4").tobytes()
+    def pieces(self, parts: list[str]) -> list[list[str | int]]:
+        """The pieces of each part. Plain parts are cut in one go, side by side with single spaces between them."""
+        lead = 0 if self.drops_space else 1
+        apart = [p[:lead] != " "[:lead] or bool(_SPACE.search(p, lead)) or bool(self._cut and self._cut.search(p)) for p in parts]
+        plain = [p for p, own in zip(parts, apart, strict=True) if not own]
+        if self.drops_space:
+            whole, gap = self._normal(" ".join(plain)), 1
+            ends = np.cumsum([len(w) + gap for w in whole.split(" ")]) if plain else np.zeros(0, np.int64)
+        else:
+            whole = self._normal("".join(plain))
+            ends = np.cumsum([len(p) for p in plain]) if self.library.normalizer is None else np.zeros(0, np.int64)
+        if len(ends) != len(plain):
+            return [self._pieces(p) for p in parts]
+        cut = self.library.pre_tokenizer.pre_tokenize_str(whole)
+        owner = np.searchsorted(ends, np.array([at for _, (at, _) in cut], np.int64), side="right").tolist()
+        found: list[list[str | int]] = [[] for _ in plain]
+        for (piece, _), k in zip(cut, owner, strict=True):
+            found[k].append(piece)
+        rest = iter(found)
+        return [self._pieces(p) if own else next(rest) for p, own in zip(parts, apart, strict=True)]
+
+    def learn(self, new: list[bytes]) -> None:
+        """Encodes parts of texts and remembers them."""
+        parts = self.pieces([w.decode() for w in new])
+        distinct = sorted({p for ps in parts for p in ps if isinstance(p, str)})
+        code: dict[str | int, bytes] = {p: struct.pack(f"<{len(ids)}I", *ids) for p, ids in zip(distinct, encode_trie(self.merges, distinct), strict=True)}
+        code |= {i: struct.pack("<I", i) for i in self.added.values()}
+        for word, ps in zip(new, parts, strict=True):
+            self.known[word] = code[ps[0]] if len(ps) == 1 else b"".join([code[p] for p in ps])
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of whole texts as little-endian unsigned 32-bit integers."""
@@ -234,7 +210,7 @@ class Encoder:
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
             new = {w for ws in split for w in ws}
-        self.learn(new)
+        self.learn(list(new))
         packed = [b"".join([self.known[w] for w in ws]) for ws in split]
         for w in new:
             if len(w) > LONGEST:
@@ -255,8 +231,8 @@ def _token_bytes(vocabulary: str) -> tuple[pa.Array, bool]:
     kind = (described.get("decoder") or {}).get("type")
     if kind not in (None, "ByteLevel"):
         raise ValueError(f"no decoding for the kind {kind}")
-    library = vocabularies.fast_tokenizer(vocabulary)
-    names = [library.id_to_token(i) for i in range(library.get_vocab_size(with_added_tokens=True))]
+    known = {i: t for t, i in described["model"]["vocab"].items()} | {t["id"]: t["content"] for t in described.get("added_tokens") or []}
+    names = [known.get(i) for i in range(max(known, default=-1) + 1)]
     if kind is None:
         return pa.array([b" " + n.encode() if n is not None else b"" for n in names], pa.large_binary()), False
     plain = {t["content"] for t in described.get("added_tokens") or []}

@@ -45,26 +45,36 @@ def test_encoding_equals_the_library(spark, strange, vocabulary, special):
 
 def test_shared_prefixes_are_encoded_once(monkeypatch):
     merges = bpe.encoder("word_bpe_49k.json", True).merges
-    trie, seen = bpe.Trie(merges), collections.Counter()
+    seen = collections.Counter()
     plain = bpe.Merges.last
-    monkeypatch.setattr(bpe.Merges, "last", lambda self, path, tokens: seen.update([path]) or plain(self, path, tokens))
-    stems = [merges.symbols(w) for w in ("nation", "national", "nationality", "nations", "nat", "x", "")]
-    ends = trie.insert(stems)
-    assert len(seen) == len({s[:k] for s in stems for k in range(1, len(s) + 1)}) and set(seen.values()) == {1}
-    assert trie.insert(stems[2:4]) == ends[2:4] and set(seen.values()) == {1}
-    for word, end in zip(stems, ends, strict=True):
-        assert trie.ids(end) == bpe.chain(merges, word)
+    monkeypatch.setattr(bpe.Merges, "last", lambda self, piece, n, tokens, final: seen.update([(piece[:n], final)]) or plain(self, piece, n, tokens, final))
+    words = sorted(["nation", "national", "nationality", "nations", "nat", "x", "", "natty"])
+    codes = bpe.encode_trie(merges, words)
+    assert set(seen) == {(w[:k], False) for w in words for k in range(1, len(w))} | {(w, True) for w in words if w} and set(seen.values()) == {1}
+    assert codes == [bpe.encode_trie(merges, [w])[0] for w in words]
 
 
 def test_every_token_encodes_to_itself():
     merges = bpe.encoder("word_bpe_49k.json", True).merges
-    assert all(bpe.chain(merges, s) == [i] for i, s in list(merges.spelled.items())[::11])
+    for table in (merges.inner, merges.final):
+        some = sorted(table)[::7]
+        if table is merges.final:
+            assert bpe.encode_trie(merges, some) == [[table[w]] for w in some]
+        else:  # what stands inside a word, before an end that nothing joins
+            assert all(merges.last(w, len(w), [-1] + [merges.last(w, k, t, False)[0] for t in [_inner(merges, w)] for k in range(1, len(w))], False)[0] == table[w] for w in some)
+
+
+def _inner(merges, word):
+    tokens = [-1]
+    for k in range(1, len(word)):
+        tokens.append(merges.last(word, k, tokens, False)[0])
+    return tokens
 
 
 def test_forgetting_words_changes_nothing(monkeypatch):
     want = [bpe.Encoder("word_bpe_49k.json").encode([t.encode() for t in odd_texts(200, 7) if t])]
     monkeypatch.setattr(bpe, "REMEMBERED", 10)
-    monkeypatch.setattr(bpe, "NODES", 50)
+    monkeypatch.setattr(bpe, "ANSWERS", 50)
     small = bpe.Encoder("word_bpe_49k.json")
     assert [[small.encode([t.encode()])[0] for t in odd_texts(200, 7) if t]] == want
 
