@@ -13,18 +13,20 @@ it by a shuffled join in which frequent pairs are split.
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prospectra.llm import scratch, vocabularies, words
 
 #: Parts that a task remembers, and the longest, in characters, that it does.
-REMEMBERED, LONGEST = 200_000, 64
+REMEMBERED, LONGEST = 300_000, 64
 #: Distinct id pairs whose counts are broadcast (16 bytes each); more are joined in so many shares of each pair.
 BROADCAST_PAIRS, SHARES = 4_000_000, 16
 _SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
@@ -56,104 +58,151 @@ def products(group_a: np.ndarray, ids_a: np.ndarray, group_b: np.ndarray, ids_b:
     return of_a[left], (key_a[left] & low) << shift | (key_b[right] & low), times_a[left] * times_b[right]
 
 
+def _taken(table: pa.Array, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of chosen entries one after another, and where each begins and the last ends."""
+    taken = pc.take(table, pa.array(at))
+    offsets = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset : taken.offset + len(taken) + 1]
+    data = np.frombuffer(taken.buffers()[2], np.uint8) if taken.buffers()[2] is not None else np.zeros(0, np.uint8)
+    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+class Side:
+    """One tokenizer's ids: the bytes each stands for, and its decimal name before a token of the same group and before its end."""
+
+    def __init__(self, spelled: list[bytes], end: str):
+        self.bytes, self.sizes, self.n = pa.array(spelled, pa.large_binary()), np.array([len(x) for x in spelled], np.int64), len(spelled)
+        self.names = pa.array([f"{i}{c}".encode() for c in (",", end) for i in range(len(spelled))], pa.large_binary())
+
+    def gives_back(self, ids: np.ndarray, part: np.ndarray, raw: list[bytes]) -> np.ndarray:
+        """For each part whether its tokens' bytes are the part's own."""
+        sizes = np.array([len(r) for r in raw], np.int64)
+        good = np.bincount(part, self.sizes[ids], len(raw)).astype(np.int64) == sizes
+        found, _ = _taken(self.bytes, ids[good[part]])
+        wanted = np.frombuffer(b"".join([r for r, g in zip(raw, good.tolist(), strict=True) if g]), np.uint8)
+        where = np.flatnonzero(found != wanted)
+        if len(where):
+            good[np.repeat(np.flatnonzero(good), sizes[good])[where]] = False
+        return good
+
+
 class Aligner:
-    """Parts of texts to their groups and links. Part k, once learnt, has the numbers counts[k], the text groups[k] and the links pairs[k], times[k]."""
+    """Parts of texts to their groups and links.
+
+    Part k, once learnt, has the numbers counts[k] (n_a, n_b, n_groups, n_links), the text groups[k],
+    and the distinct pairs and their times from first[k] on, sizes[k] of them.
+    """
 
     def __init__(self, a: str, b: str):
         self.a, self.b = vocabularies.fast_tokenizer(a), vocabularies.piece_model(b)
         self.a.encode_special_tokens = True
         letters = vocabularies.byte_of()
         names = [self.a.id_to_token(i) for i in range(self.a.get_vocab_size(with_added_tokens=True))]
-        self.bytes_a = [bytes(letters[c] for c in n) if n is not None and all(c in letters for c in n) else (n or "").encode() for n in names]
+        self.side_a = Side([bytes(letters[c] for c in n) if n is not None and all(c in letters for c in n) else (n or "").encode() for n in names], "|")
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         if any("▁" in p.lstrip("▁") for p in pieces):
             raise ValueError(f"the vocabulary {b} has pieces that go on behind a space")
-        self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.side_b = Side([bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)], ";")
         self.shift = max(1, len(pieces) - 1).bit_length()
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.counts = np.zeros((0, 4), np.int64)
-        self.groups: list[str | None] = []
-        self.links: list[tuple[np.ndarray, np.ndarray]] = []
+        self.counts, self.groups = np.zeros((0, 4), np.int64), []
+        self.first, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pairs, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def learn(self, parts: list[str]) -> None:
         """Aligns parts, each of a space and what follows it; those whose bytes a side does not give back have no groups."""
-        whole = [" " + p for p in parts]
-        codes_a = [e.ids for e in self.a.encode_batch_fast(whole, add_special_tokens=False)]
+        raw = [(" " + p).encode() for p in parts]
+        codes_a = [e.ids for e in self.a.encode_batch_fast([" " + p for p in parts], add_special_tokens=False)]
         codes_b = self.b.encode(parts, num_threads=1)
-        raw = [w.encode() for w in whole]
-        good = [k for k, r in enumerate(raw) if b"".join([self.bytes_a[i] for i in codes_a[k]]) == r == b"".join([self.bytes_b[i] for i in codes_b[k]])]
+        sides = []
+        good = np.ones(len(parts), bool)
+        for side, codes in ((self.side_a, codes_a), (self.side_b, codes_b)):
+            part = np.repeat(np.arange(len(parts)), [len(c) for c in codes])
+            ids = np.fromiter(itertools.chain.from_iterable(codes), np.int64, len(part))
+            good &= side.gives_back(ids, part, raw)
+            sides.append((side, ids, part))
         for k, p in enumerate(parts):
             self.known[p] = len(self.groups) + k
-        counts, texts, links = np.zeros((len(parts), 4), np.int64), [None] * len(parts), [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(parts)
-        if good:
-            ids_a, ids_b = (np.concatenate([np.array(c[k], np.int64) for k in good]) for c in (codes_a, codes_b))
-            ends_a = np.cumsum([len(self.bytes_a[i]) for i in ids_a.tolist()])
-            ends_b = np.cumsum([len(self.bytes_b[i]) for i in ids_b.tolist()])
+        counts, texts, sizes = np.zeros((len(parts), 4), np.int64), [b""] * len(parts), np.zeros(len(parts), np.int64)
+        if good.any():
+            (ids_a, part_a), (ids_b, part_b) = [(ids[good[part]], part[good[part]]) for _, ids, part in sides]
             # Parts end where both sides end a token, so groups stay inside parts.
-            a, b, group = overlaps(ends_a, ends_b)
+            a, b, group = overlaps(np.cumsum(self.side_a.sizes[ids_a]), np.cumsum(self.side_b.sizes[ids_b]))
             group_a, group_b = (group[np.searchsorted(owner, np.arange(len(ids)))] for owner, ids in ((a, ids_a), (b, ids_b)))
-            part_of = np.repeat(np.array(good), [len(codes_a[k]) for k in good])
-            first = np.searchsorted(group_a, np.arange(group[-1] + 1))
-            home = part_of[first]
             n_a, n_b = np.bincount(group_a), np.bincount(group_b)
+            upto_a, upto_b = np.cumsum(n_a), np.cumsum(n_b)
+            home = part_a[upto_a - 1]
             for column, values in enumerate((n_a, n_b, np.ones_like(n_a), n_a * n_b)):
-                np.add.at(counts[:, column], home, values)
-            la, lb, at_a, at_b = ids_a.tolist(), ids_b.tolist(), 0, 0
-            told: dict[int, list[str]] = {}
-            for where, i, j in zip(home.tolist(), n_a.tolist(), n_b.tolist(), strict=True):
-                told.setdefault(where, []).append(",".join(map(str, la[at_a : at_a + i])) + "|" + ",".join(map(str, lb[at_b : at_b + j])))
-                at_a, at_b = at_a + i, at_b + j
+                counts[:, column] = np.bincount(home, values, len(parts))
+            # A group's names: those of the one side, then those of the other.
+            names = np.zeros(len(ids_a) + len(ids_b), np.int64)
+            ends_a, ends_b = np.zeros(len(ids_a), bool), np.zeros(len(ids_b), bool)
+            ends_a[upto_a - 1] = ends_b[upto_b - 1] = True
+            names[np.arange(len(ids_a)) + (upto_b - n_b)[group_a]] = ids_a + self.side_a.n * ends_a
+            names[np.arange(len(ids_b)) + upto_a[group_b]] = ids_b + self.side_b.n * ends_b + len(self.side_a.names)
+            told, at = _taken(self.names, names)
+            cuts = at[np.cumsum(counts[good, 0] + counts[good, 1])].tolist()
+            whole, before = told.tobytes(), 0
+            for k, cut in zip(np.flatnonzero(good).tolist(), cuts, strict=True):
+                texts[k] = whole[before : cut - 1]
+                before = cut
             in_group, pair, times = products(group_a, ids_a, group_b, ids_b, self.shift)
             of = home[in_group]
             order = np.lexsort((pair, of))
             of, pair, times = of[order], pair[order], times[order]
             fresh = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (pair[1:] != pair[:-1])]))
-            of, pair, times = of[fresh], pair[fresh], np.add.reduceat(times, fresh)
-            cuts = np.searchsorted(of, np.arange(len(parts) + 1))
-            for k in good:
-                texts[k] = ";".join(told[k])
-                links[k] = (pair[cuts[k] : cuts[k + 1]], times[cuts[k] : cuts[k + 1]])
+            sizes = np.bincount(of[fresh], minlength=len(parts))
+            self.first = np.concatenate([self.first, len(self.pairs) + np.cumsum(sizes) - sizes])
+            self.pairs, self.times = np.concatenate([self.pairs, pair[fresh]]), np.concatenate([self.times, np.add.reduceat(times, fresh)])
+        else:
+            self.first = np.concatenate([self.first, np.full(len(parts), len(self.pairs))])
+        self.sizes = np.concatenate([self.sizes, sizes])
         self.counts = np.concatenate([self.counts, counts])
         self.groups += texts
-        self.links += links
 
-    def align(self, texts: list[str | None]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
+    @functools.cached_property
+    def names(self) -> pa.Array:
+        return pa.concat_arrays([self.side_a.names, self.side_b.names])
+
+    def align(self, texts: list[str | None]) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray, np.ndarray]:
         """Per text: (n_a, n_b, n_groups, n_links) and the groups; and the (text, pair, times) of all, by text and pair."""
         split = [_SINGLE_SPACE.split(t) if t else [] for t in texts]
-        new = list(dict.fromkeys(p for ps in split for p in ps if p not in self.known))
+        every = set().union(*split)
+        new = [p for p in every if p not in self.known]
         if len(self.groups) + len(new) > REMEMBERED:
             self.forget()
-            new = list(dict.fromkeys(p for ps in split for p in ps))
-        self.learn(new)
-        places = [[self.known[p] for p in ps] for ps in split]
+            new = list(every)
+        if new:
+            self.learn(new)
+        known = self.known.__getitem__
+        places = [list(map(known, ps)) for ps in split]
         sizes = np.array([len(p) for p in places], np.int64)
-        flat = np.array([k for p in places for k in p], np.int64)
+        flat = np.fromiter(itertools.chain.from_iterable(places), np.int64, int(sizes.sum()))
         text = np.repeat(np.arange(len(texts)), sizes)
         broken = np.zeros(len(texts), bool)
         broken[text[self.counts[flat, 0] == 0]] = True
-        counts = np.zeros((len(texts), 4), np.int64)
-        np.add.at(counts, text, self.counts[flat])
+        counts = np.stack([np.bincount(text, self.counts[flat, c], len(texts)) for c in range(4)], 1).astype(np.int64)
         counts[broken] = 0
-        told = ["" if broken[i] else ";".join([self.groups[k] for k in p]) for i, p in enumerate(places)]
+        told = [b"" if broken[i] else b";".join(map(self.groups.__getitem__, p)) for i, p in enumerate(places)]
         keep = ~broken[text]
         width = max(1, len(self.groups))
         seen, often = np.unique(text[keep] * width + flat[keep], return_counts=True)
-        parts, inverse = np.unique(seen % width, return_inverse=True)
-        lengths = np.array([len(self.links[k][0]) for k in parts.tolist()], np.int64)
-        pairs = np.concatenate([np.zeros(0, np.int64), *[self.links[k][0] for k in parts.tolist()]])
-        times = np.concatenate([np.zeros(0, np.int64), *[self.links[k][1] for k in parts.tolist()]])
-        at = expanded((np.cumsum(lengths) - lengths)[inverse], lengths[inverse])
-        names, local = np.unique(pairs, return_inverse=True)
-        whose = np.repeat(seen // width, lengths[inverse])
-        key, inverse_pairs = np.unique(whose * max(1, len(names)) + local[at], return_inverse=True)
-        total = np.bincount(inverse_pairs, times[at] * np.repeat(often, lengths[inverse]), len(key)).astype(np.int64)
+        part, whose = seen % width, seen // width
+        lengths = self.sizes[part]
+        at = expanded(self.first[part], lengths)
+        key = np.repeat(whose, lengths) << 2 * self.bits | self.pairs[at]
+        key, inverse = np.unique(key, return_inverse=True)
+        total = np.bincount(inverse, self.times[at] * np.repeat(often, lengths), len(key)).astype(np.int64)
         for p in [p for p in new if len(p) > LONGEST]:
-            k = self.known.pop(p)
-            self.groups[k], self.links[k] = None, (pairs[:0], pairs[:0])
-        return counts, told, key // max(1, len(names)), names[key % max(1, len(names))], total
+            self.groups[self.known.pop(p)] = b""
+        return counts, told, key >> 2 * self.bits, key & ((1 << 2 * self.bits) - 1), total
+
+    @functools.cached_property
+    def bits(self) -> int:
+        """Half of the bits of a pair; what is left names texts, of which a batch has far fewer."""
+        return -(-(self.shift + (self.side_a.n - 1).bit_length()) // 2)
 
 
 @functools.lru_cache(maxsize=1)
@@ -182,7 +231,7 @@ def align(df: DataFrame, key: str = "doc_id", text: str = "text", a: str = "byte
             counts, groups, owner, pairs, times = known.align(batch.column("__text").to_pylist())
             offsets = pa.array(np.searchsorted(owner, np.arange(batch.num_rows + 1)).astype(np.int32))
             lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (pairs, times)]
-            yield pa.RecordBatch.from_arrays([batch.column("__key"), *[pa.array(c) for c in counts.T.copy()], pa.array(groups, pa.string()), *lists], ["__key", "n_a", "n_b", "n_groups", "n_links", "groups", "pairs", "times"])
+            yield pa.RecordBatch.from_arrays([batch.column("__key"), *[pa.array(c) for c in counts.T.copy()], pa.array(groups, pa.binary()).cast(pa.string()), *lists], ["__key", "n_a", "n_b", "n_groups", "n_links", "groups", "pairs", "times"])
 
     narrow = df.select(F.col(key).alias("__key"), F.col(text).cast("string").alias("__text"))
     return narrow.mapInArrow(run, f"__key {kind}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups string, pairs array<bigint>, times array<bigint>").withColumnRenamed("__key", key)
