@@ -19,12 +19,16 @@ def horizon(df: DataFrame, key: str, period: str, span: int, least: int) -> Data
 
 
 def encode_left_out(df: DataFrame, group: str, label: str, smoothing: float, out: str) -> DataFrame:
-    """Adds each group's smoothed label rate without the row's own label."""
-    groups = df.groupBy(group).agg(F.sum(label).alias("__p"), F.count("*").alias("__n"))
+    """Adds each group's smoothed label rate without the row's own label.
+
+    A row without a group gets the rate of all other rows; where there are no other rows, the rate is null.
+    """
+    groups = df.groupBy(F.col(group).alias("__g")).agg(F.sum(label).alias("__p"), F.count("*").alias("__n"))
     total = groups.agg(F.sum("__p").alias("__ap"), F.sum("__n").alias("__an"))
-    joined = df.join(groups, group).crossJoin(F.broadcast(total))  # `total` is one row
-    prior = (F.col("__ap") - F.col(label)) / (F.col("__an") - 1)
-    return joined.withColumn(out, (F.col("__p") - F.col(label) + smoothing * prior) / (F.col("__n") - 1 + smoothing)).drop("__p", "__n", "__ap", "__an")
+    joined = df.join(groups.where("__g IS NOT NULL"), F.col(group) == F.col("__g"), "left").crossJoin(F.broadcast(total))  # `total` is one row
+    prior = F.try_divide(F.col("__ap") - F.col(label), F.col("__an") - 1)
+    rate = F.when(F.col("__n").isNull(), prior).otherwise((F.col("__p") - F.col(label) + smoothing * prior) / (F.col("__n") - 1 + smoothing))
+    return joined.withColumn(out, rate).drop("__g", "__p", "__n", "__ap", "__an")
 
 
 def observed_rates(df: DataFrame, groups: Sequence[str], label: str, features: Sequence[str]) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from prospectra.operators import ranks
+
 
 def roc_auc(df: DataFrame, groups: Sequence[str], score: str, label: str, out: str = "auc") -> DataFrame:
     """The share of (positive, negative) pairs in the right order, ties as half; null without both classes."""
@@ -21,11 +23,11 @@ def roc_auc(df: DataFrame, groups: Sequence[str], score: str, label: str, out: s
 
 
 def average_precision(df: DataFrame, groups: Sequence[str], score: str, label: str, tie: str, out: str = "ap") -> DataFrame:
-    """Mean precision at each positive, by falling score and then rising `tie`."""
-    w = Window.partitionBy(*groups).orderBy(F.desc(score), F.asc(tie))
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = df.withColumn("__at", F.row_number().over(w)).withColumn("__hits", F.sum(label).over(upto))
-    return ranked.groupBy(*groups).agg(F.avg(F.when(F.col(label) == 1, F.col("__hits") / F.col("__at"))).alias(out))
+    """Mean precision at each positive, by falling score (null scores last) and then rising `tie`; rows that these don't tell apart count at their last place."""
+    counts = df.groupBy(*groups, score, tie).agg(F.count("*").alias("__n"), F.sum(label).alias("__p"))
+    ranked = ranks.running(counts, groups, [F.desc(score), F.asc(tie)], {"__at": "__n", "__hits": "__p"})
+    precision = (F.col("__hits") + F.col("__p")) / (F.col("__at") + F.col("__n"))
+    return ranked.groupBy(*groups).agg(F.try_divide(F.sum(F.col("__p") * precision), F.sum("__p")).alias(out))
 
 
 def brier(p: Column, y: Column) -> Column:

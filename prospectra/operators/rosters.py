@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from prospectra.functions import rules as R
 from prospectra.functions import scalars as S
-from prospectra.operators import joins, windows
+from prospectra.operators import joins, ranks, windows
 
 
 def eligible(roster: DataFrame, teams: DataFrame, player: str, team: str, division: Column, order: Sequence[Column]) -> DataFrame:
@@ -46,18 +46,8 @@ def orphans(stats: DataFrame, roster: DataFrame, key: str) -> DataFrame:
 
 
 def counted_rank(df: DataFrame, groups: Sequence[str], scores: Sequence[str], ties: Sequence[Column], out: str) -> DataFrame:
-    """Adds the row's number in its group by `scores`, highest first, and then by `ties`.
-
-    Rows are counted by their scores first: windows run over distinct scores, and over the rows of equal ones.
-    """
-    counts = df.groupBy(*groups, *scores).agg(F.count("*").alias("__n"))
-    before = Window.partitionBy(*groups).orderBy(*[F.desc_nulls_last(s) for s in scores]).rowsBetween(Window.unboundedPreceding, -1)
-    names = [*groups, *scores]
-    base = counts.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(names)], F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
-    on = [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(names)]
-    inside = F.row_number().over(Window.partitionBy(*names).orderBy(*ties))
-    ranked = df.withColumn("__in", inside).join(base, on).withColumn(out, F.col("__base") + F.col("__in"))
-    return ranked.drop("__in", "__base", *[f"__k{i}" for i in range(len(names))])
+    """Adds the row's number in its group by `scores`, highest first and nulls last, and then by `ties`."""
+    return ranks.numbered(df, groups, [*[F.desc_nulls_last(s) for s in scores], *ties], out)
 
 
 def discovery(df: DataFrame, key: str, position: str, metrics: Mapping[str, bool], class_year: str, measures: Sequence[str], name: str) -> DataFrame:

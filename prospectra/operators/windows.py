@@ -41,14 +41,6 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: s
     return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
 
 
-def competition_rank(df: DataFrame, groups: Sequence[str], value: str, out: str) -> DataFrame:
-    """Adds 1 + the number of rows with a higher value in the group; windows run over distinct values."""
-    counts = df.groupBy(*groups, value).agg(F.count("*").alias("__n"))
-    above = Window.partitionBy(*groups).orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1)
-    places = counts.select(*groups, value, (F.coalesce(F.sum("__n").over(above), F.lit(0)) + 1).alias(out))
-    return df.join(places, [*groups, value])
-
-
 def latest_before(df: DataFrame, keys: Sequence[str], order: Sequence[str], is_checkpoint: Column, value: str, out: str) -> DataFrame:
     """Adds the `value` of the last checkpoint row of the key at or before each row, in one window and without a range join."""
     w = Window.partitionBy(*keys).orderBy(order[0]).rangeBetween(Window.unboundedPreceding, Window.currentRow)

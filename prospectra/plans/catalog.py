@@ -45,4 +45,4 @@ def oracle_sql() -> dict[str, str]:
 
 def _load() -> None:
     """Importing a plan module registers its queries."""
-    from prospectra.plans import aggregates, boards, matching, models, production, ranking, rooms, rules, scalars, statistics  # noqa: F401
+    from prospectra.plans import aggregates, boards, matching, models, probability, production, ranking, rooms, rules, scalars, statistics  # noqa: F401

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prospectra.operators import rosters, windows
+from prospectra.operators import ranks, rosters, windows
 from prospectra.plans.catalog import register
 from prospectra.sources.tables import table
 
@@ -32,7 +32,7 @@ def peer_midrank(spark: SparkSession, root: str) -> DataFrame:
 @register("competition_rank", "SELECT o_orderkey, year(o_orderdate) AS year, rank() OVER (PARTITION BY year(o_orderdate) ORDER BY floor(o_totalprice / 1000) DESC) AS place FROM orders")
 def competition_rank(spark: SparkSession, root: str) -> DataFrame:
     rows = table(spark, root, "orders").select("o_orderkey", F.year("o_orderdate").cast("long").alias("year"), F.floor(F.col("o_totalprice") / 1000).alias("v"))
-    return windows.competition_rank(rows, ["year"], "v", "place").drop("v")
+    return ranks.competition(rows, ["year"], "v", "place").drop("v")
 
 
 @register(
@@ -86,7 +86,7 @@ def completed_period(spark: SparkSession, root: str) -> DataFrame:
 )
 def movement_delta(spark: SparkSession, root: str) -> DataFrame:
     totals = table(spark, root, "orders").groupBy("o_custkey", F.year("o_orderdate").cast("long").alias("year")).agg(F.round(F.sum("o_totalprice"), 2).alias("v"))
-    ranked = windows.competition_rank(totals, ["year"], "v", "place").drop("v")
+    ranked = ranks.competition(totals, ["year"], "v", "place").drop("v")
     before = ranked.select("o_custkey", (F.col("year") + 1).alias("year"), F.col("place").alias("before"))
     return ranked.join(before, ["o_custkey", "year"], "left").select("o_custkey", "year", "place", (F.col("before") - F.col("place")).alias("moved"))
 

@@ -25,7 +25,7 @@ def scored(spark: SparkSession, root: str) -> DataFrame:
     rounded=["q20", "q50", "q80", "iqr"], digits=6
 )
 def quantiles(spark: SparkSession, root: str) -> DataFrame:
-    rows = counted_quantiles(table(spark, root, "customer"), ["c_mktsegment"], "c_acctbal", {"q20": 0.2, "q50": 0.5, "q80": 0.8, "q25": 0.25, "q75": 0.75})
+    rows = counted_quantiles(table(spark, root, "customer"), ["c_mktsegment"], "c_acctbal", {"q20": 0.2, "q50": 0.5, "q80": 0.8, "q25": 0.25, "q75": 0.75}, ranged=True)
     return rows.select("c_mktsegment", "q20", "q50", "q80", (F.col("q75") - F.col("q25")).alias("iqr"))
 
 
