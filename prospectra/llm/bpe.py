@@ -11,8 +11,10 @@ follow what precedes it: that is its last token.
 from __future__ import annotations
 
 import functools
+import gc
 import json
 import re
+import string
 import struct
 from collections.abc import Iterator
 
@@ -65,12 +67,14 @@ class Merges:
         self.inner = {text: i for i, (text, ends) in self.spelled.items() if not ends}
         self.final = {text: i for i, (text, ends) in self.spelled.items() if ends} if end else self.inner
         #: The tokens by what they spell, and -1 for what only ends one: nothing longer has to be looked up than these.
-        self._tails_inner, self._tails_final = self._tails(self.inner), self._tails(self.final)
-        self._follows: dict[tuple[int, int], bool] = {}
+        self.inner_tails, self.final_tails = self._tails(self.inner), self._tails(self.final)
+        #: For each token the answers so far of which tokens may follow it, and how many these are; prefixes encoded so far.
+        self.answers: dict[int, dict[int, bool]] = {i: {} for i in self.spelled}
+        self._known = self.encoded = 0
 
     def follows(self, first: int, second: int) -> bool:
         """Whether two tokens side by side are what their joined symbols encode to."""
-        known = self._follows.get((first, second))
+        known = self.answers[first].get(second)
         if known is None:
             rank = self._rank.get
             known = True
@@ -80,32 +84,18 @@ class Merges:
                     # Of equal merges the leftmost comes first: one inside the first token, before one inside the second.
                     if crossing is not None and crossing < a_ends and crossing <= b_ends:
                         known = False
-            if len(self._follows) >= ANSWERS:
-                self._follows.clear()
-            self._follows[first, second] = known
+            if self._known >= ANSWERS:
+                for answers in self.answers.values():
+                    answers.clear()
+                self._known = 0
+            self.answers[first][second] = known
+            self._known += 1
         return known
 
     @staticmethod
     def _tails(table: dict[str, int]) -> dict[str, int]:
         return dict.fromkeys((text[at:] for text in table for at in range(1, len(text))), -1) | table
 
-    def last(self, piece: str, n: int, tokens: list[int], final: bool) -> tuple[int, int]:
-        """The last token of the encoding of the first n characters and its length; tokens[k] is that of the first k."""
-        known = (self._tails_final if final else self._tails_inner).get
-        follows, at = self._follows.get, n
-        while at:
-            at -= 1
-            token = known(piece[at:n])
-            if token is None:
-                break
-            if token >= 0:
-                if at == 0:
-                    return token, n
-                fits = follows((tokens[at], token))
-                if fits or (fits is None and self.follows(tokens[at], token)):
-                    return token, n - at
-        raise AssertionError("every symbol is a token")
-
 
 def encode_trie(merges: Merges, pieces: list[str]) -> list[list[int]]:
     """The ids of distinct pieces in ascending order, which is the depth-first order of their trie.
@@ -114,26 +104,35 @@ def encode_trie(merges: Merges, pieces: list[str]) -> list[list[int]]:
     their encoding and its length. What a piece shares with the one before it is a path of nodes
     that have been visited already, and is not encoded again.
     """
-    tokens, sizes = [-1], [0]
-    before, out = "", []
+    inner, final, answers, follows = merges.inner_tails.get, merges.final_tails.get, merges.answers, merges.follows
+    tokens, sizes, before = [-1], [0], ""
+    out: list[list[int]] = []
     for piece in pieces:
         n = len(piece)
-        shared, most = 0, min(n - 1, len(tokens) - 1)
+        shared, most = 0, min(n - 1, len(before) - 1)
         while shared < most and piece[shared] == before[shared]:
             shared += 1
         del tokens[shared + 1 :], sizes[shared + 1 :]
-        for k in range(shared + 1, n):
-            token, size = merges.last(piece, k, tokens, False)
+        merges.encoded += n - shared
+        for k in range(shared + 1, n + 1):
+            known, at = inner if k < n else final, k
+            while True:
+                at -= 1
+                token = known(piece[at:k])
+                if token >= 0:
+                    if not at:
+                        break
+                    fits = answers[tokens[at]].get(token)
+                    if fits or (fits is None and follows(tokens[at], token)):
+                        break
             tokens.append(token)
-            sizes.append(size)
+            sizes.append(k - at)
         ids, at = [], n
-        if n:
-            token, size = merges.last(piece, n, tokens, True)
-            ids, at = [token], n - size
         while at:
             ids.append(tokens[at])
             at -= sizes[at]
-        out.append(ids[::-1])
+        ids.reverse()
+        out.append(ids)
         before = piece
     return out
 
@@ -153,6 +152,7 @@ class Encoder:
         self.added = {t["content"]: t["id"] for t in added} if special else {}
         self._cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.drops_space = token_counts.splits_at_space(self.library)
+        self._simple = self._simple_words()
 
     def split(self, text: bytes) -> list[bytes]:
         """The parts of a text that can be encoded one by one."""
@@ -173,7 +173,25 @@ class Encoder:
                 found += [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(self._normal(part))]
         return found
 
+    def _simple_words(self) -> re.Pattern | None:
+        """Runs of ASCII letters, with a run of marks behind them or not, if the file takes these apart as lower-cased letters and the marks; it is asked about all pairs of letters and of marks."""
+        letters = string.ascii_letters
+        marks = [m for m in string.punctuation if self._pieces("ab" + m) == ["ab", m] and self._pieces("ab" + m + "s") == ["ab", m, "s"]]
+        marks = [m for m in marks if all(self._pieces("ab" + m + o) == ["ab", m + o] and self._pieces("ab" + o + m) == ["ab", o + m] for o in marks)]
+        chained = "".join(a + b for a in letters for b in letters)
+        if not self.drops_space or self._pieces(chained) != [chained.lower()] or not marks:
+            return None
+        return re.compile(f"([A-Za-z]+)([{re.escape(''.join(marks))}]*)")
+
     def pieces(self, parts: list[str]) -> list[list[str | int]]:
+        """The pieces of each part."""
+        if self._simple is None:
+            return self._cut_pieces(parts)
+        simple = list(map(self._simple.fullmatch, parts))
+        rest = iter(self._cut_pieces([p for p, m in zip(parts, simple, strict=True) if m is None]))
+        return [next(rest) if m is None else [m[1].lower(), m[2]] if m[2] else [m[1].lower()] for m in simple]
+
+    def _cut_pieces(self, parts: list[str]) -> list[list[str | int]]:
         """The pieces of each part. Plain parts are cut in one go, side by side with single spaces between them."""
         lead = 0 if self.drops_space else 1
         apart = [p[:lead] != " "[:lead] or bool(_SPACE.search(p, lead)) or bool(self._cut and self._cut.search(p)) for p in parts]
@@ -210,7 +228,14 @@ class Encoder:
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
             new = {w for ws in split for w in ws}
-        self.learn(list(new))
+        # What learning makes has no cycles: looking for some would take as long as the merging.
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            self.learn(list(new))
+        finally:
+            if collecting:
+                gc.enable()
         packed = [b"".join([self.known[w] for w in ws]) for ws in split]
         for w in new:
             if len(w) > LONGEST:

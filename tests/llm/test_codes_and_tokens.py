@@ -43,32 +43,30 @@ def test_encoding_equals_the_library(spark, strange, vocabulary, special):
     assert bpe.decode_ids(bpe.encode_texts(strange.limit(0))).count() == 0
 
 
-def test_shared_prefixes_are_encoded_once(monkeypatch):
+def test_shared_prefixes_are_encoded_once():
     merges = bpe.encoder("word_bpe_49k.json", True).merges
-    seen = collections.Counter()
-    plain = bpe.Merges.last
-    monkeypatch.setattr(bpe.Merges, "last", lambda self, piece, n, tokens, final: seen.update([(piece[:n], final)]) or plain(self, piece, n, tokens, final))
     words = sorted(["nation", "national", "nationality", "nations", "nat", "x", "", "natty"])
+    before = merges.encoded
     codes = bpe.encode_trie(merges, words)
-    assert set(seen) == {(w[:k], False) for w in words for k in range(1, len(w))} | {(w, True) for w in words if w} and set(seen.values()) == {1}
+    assert merges.encoded - before == len({w[:k] for w in words for k in range(1, len(w))}) + len([w for w in words if w])
     assert codes == [bpe.encode_trie(merges, [w])[0] for w in words]
 
 
 def test_every_token_encodes_to_itself():
     merges = bpe.encoder("word_bpe_49k.json", True).merges
-    for table in (merges.inner, merges.final):
-        some = sorted(table)[::7]
-        if table is merges.final:
-            assert bpe.encode_trie(merges, some) == [[table[w]] for w in some]
-        else:  # what stands inside a word, before an end that nothing joins
-            assert all(merges.last(w, len(w), [-1] + [merges.last(w, k, t, False)[0] for t in [_inner(merges, w)] for k in range(1, len(w))], False)[0] == table[w] for w in some)
-
-
-def _inner(merges, word):
-    tokens = [-1]
-    for k in range(1, len(word)):
-        tokens.append(merges.last(word, k, tokens, False)[0])
-    return tokens
+    words = sorted(merges.final)
+    assert bpe.encode_trie(merges, words) == [[merges.final[w]] for w in words]
+    # Inside a word: before an end that the token is not joined with.
+    inner = sorted(merges.inner)[::5]
+    assert all(codes == [[merges.inner[w]]] for w in inner for codes in [bpe.encode_trie(_Inner(merges), [w])])
+
+
+class _Inner:
+    """The same merges without word ends."""
+
+    def __init__(self, merges):
+        self.inner_tails = self.final_tails = merges.inner_tails
+        self.answers, self.follows, self.encoded = merges.answers, merges.follows, 0
 
 
 def test_forgetting_words_changes_nothing(monkeypatch):
