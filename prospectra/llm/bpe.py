@@ -16,6 +16,7 @@ import json
 import re
 import string
 import struct
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from prospectra.llm import token_counts, vocabularies, words
 
 #: Words that a task remembers, and the longest, in bytes, that it does; remembered answers of what may follow what.
-REMEMBERED, LONGEST, ANSWERS = 200_000, 64, 300_000
+REMEMBERED, LONGEST, ANSWERS = 150_000, 64, 300_000
 #: Where a text can be cut if the vocabulary keeps white space: before a single space between two other characters.
 _SINGLE_SPACE = re.compile(r"(?<=\S)(?= \S)")
 _SPACE = re.compile(r"\s")
@@ -53,40 +54,47 @@ class Merges:
             raise ValueError("the vocabulary has tokens that no merge makes")
         never = len(pairs)
         self._rank: dict[tuple[int, int], int] = {}
-        #: The tokens along the left and the right edge of each token's merges, each with the rank of the merge that ends it.
-        self._left: dict[int, list[tuple[int, int]]] = {i: [(i, never)] for i in self.spelled}
-        self._right: dict[int, list[tuple[int, int]]] = {i: [(i, never)] for i in self.spelled}
+        #: The two tokens that each token is merged from, by that merge's rank.
+        self._made: dict[int, tuple[int, int, int]] = {}
         for rank, (a, b) in enumerate(pairs):
             x, y, z = vocab[a], vocab[b], vocab[a + b]
             if z in self.spelled or x not in self.spelled or y not in self.spelled or self.spelled[x][1]:
                 raise ValueError("merges must make each token once, from tokens made before")
             self._rank[x, y] = rank
+            self._made[z] = (x, y, rank)
             self.spelled[z] = (self.spelled[x][0] + self.spelled[y][0], self.spelled[y][1])
-            self._left[z] = [*self._left[x][:-1], (x, rank), (z, never)]
-            self._right[z] = [*self._right[y][:-1], (y, rank), (z, never)]
+        self._never = never
         self.inner = {text: i for i, (text, ends) in self.spelled.items() if not ends}
         self.final = {text: i for i, (text, ends) in self.spelled.items() if ends} if end else self.inner
         #: The tokens by what they spell, and -1 for what only ends one: nothing longer has to be looked up than these.
-        self.inner_tails, self.final_tails = self._tails(self.inner), self._tails(self.final)
+        self.inner_tails = self._tails(self.inner)
+        self.final_tails = self._tails(self.final) if end else self.inner_tails
         #: For each token the answers so far of which tokens may follow it, and how many these are; prefixes encoded so far.
-        self.answers: dict[int, dict[int, bool]] = {i: {} for i in self.spelled}
+        self.answers: dict[int, dict[int, bool]] = defaultdict(dict)
         self._known = self.encoded = 0
 
+    def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
+        """The tokens along an edge of a token's merges, each with the rank of the merge that ends it."""
+        found, ends = [(token, self._never)], self._made.get(token)
+        while ends:
+            found.append((ends[side], ends[2]))
+            ends = self._made.get(ends[side])
+        return found
+
     def follows(self, first: int, second: int) -> bool:
         """Whether two tokens side by side are what their joined symbols encode to."""
         known = self.answers[first].get(second)
         if known is None:
             rank = self._rank.get
             known = True
-            for a, a_ends in self._right[first]:
-                for b, b_ends in self._left[second]:
+            for a, a_ends in self._edge(first, 1):
+                for b, b_ends in self._edge(second, 0):
                     crossing = rank((a, b))
                     # Of equal merges the leftmost comes first: one inside the first token, before one inside the second.
                     if crossing is not None and crossing < a_ends and crossing <= b_ends:
                         known = False
             if self._known >= ANSWERS:
-                for answers in self.answers.values():
-                    answers.clear()
+                self.answers.clear()
                 self._known = 0
             self.answers[first][second] = known
             self._known += 1
@@ -277,11 +285,12 @@ def decoded(ids: np.ndarray, first: np.ndarray, vocabulary: str) -> list[str]:
     return [data[ends[a] : ends[b]].decode(errors="replace") if bytewise else data[ends[a] + 1 : ends[b]].decode() for a, b in zip(first[:-1], first[1:], strict=True)]
 
 
-def encode_texts(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = "word_bpe_49k.json", special: bool = True, packed: bool = False) -> DataFrame:
+def encode_texts(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = "word_bpe_49k.json", special: bool = True, packed: bool = False, decode: bool = False) -> DataFrame:
     """One row per row of `df`: the key, n_tokens and ids of the whole text, as the library gives them without added special tokens.
 
     `ids` is an array of integers, or with `packed` the bytes of little-endian unsigned 32-bit
-    integers. Strings of special tokens inside a text become these, or without `special` ordinary
+    integers. With `decode` the text that the ids decode to comes along as `decoded`, as `decode_ids`
+    gives it, in the same pass. Strings of special tokens inside a text become these, or without `special` ordinary
     text. Null and empty texts have no ids; the key may be null or repeated; other columns of `df`
     are not read, whatever their names. A very long text or word takes memory in proportion to
     itself. An empty table gives no rows. Vocabularies that are no byte-level merge table fail with
@@ -291,7 +300,7 @@ def encode_texts(df: DataFrame, key: str = "doc_id", text: str = "text", vocabul
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(vocabulary, special)
-        for batch in words.slices(batches, "__text"):
+        for batch in words.slices(batches, "__text", words.SLICE // 2):
             codes = coder.encode(batch.column("__text").cast(pa.large_binary()).fill_null(b"").to_pylist())
             counts = np.array([len(c) // 4 for c in codes], np.int64)
             if packed:
@@ -299,10 +308,14 @@ def encode_texts(df: DataFrame, key: str = "doc_id", text: str = "text", vocabul
             else:
                 flat = np.frombuffer(b"".join(codes), "<i4")
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column("__key"), pa.array(counts), ids], ["__key", "n_tokens", "ids"])
+            columns = {"__key": batch.column("__key"), "n_tokens": pa.array(counts), "ids": ids}
+            if decode:
+                first = np.concatenate([[0], np.cumsum(counts)])
+                columns["decoded"] = pa.array(decoded(np.frombuffer(b"".join(codes), "<i4").astype(np.int64), first, vocabulary), pa.string())
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     narrow = df.select(F.col(key).alias("__key"), F.col(text).cast("string").alias("__text"))
-    return narrow.mapInArrow(run, f"__key {kind}, n_tokens bigint, ids {'binary' if packed else 'array<int>'}").withColumnRenamed("__key", key)
+    return narrow.mapInArrow(run, f"__key {kind}, n_tokens bigint, ids {'binary' if packed else 'array<int>'}{', decoded string' if decode else ''}").withColumnRenamed("__key", key)
 
 
 def decode_ids(df: DataFrame, ids: str = "ids", out: str = "decoded", vocabulary: str = "word_bpe_49k.json") -> DataFrame:

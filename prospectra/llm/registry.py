@@ -92,7 +92,7 @@ def op12_token_alignment(spark: SparkSession, root: str) -> DataFrame:
 
 
 def op13_bpe_round_trip(spark: SparkSession, root: str) -> DataFrame:
-    coded = bpe.decode_ids(bpe.encode_texts(_table(spark, root, "documents"), packed=True))
+    coded = bpe.encode_texts(_table(spark, root, "documents"), packed=True, decode=True)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

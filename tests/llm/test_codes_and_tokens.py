@@ -40,6 +40,8 @@ def test_encoding_equals_the_library(spark, strange, vocabulary, special):
         ids = library.encode(row.text or "", add_special_tokens=False).ids
         want.append((row.doc_id, len(ids), tuple(ids), library.decode(ids, skip_special_tokens=False)))
     assert collections.Counter((r.doc_id, r.n_tokens, tuple(r.ids), r.decoded) for r in got) == collections.Counter(want)
+    both = bpe.encode_texts(strange, vocabulary=vocabulary, special=special, decode=True).collect()
+    assert collections.Counter((r.doc_id, r.n_tokens, tuple(r.ids), r.decoded) for r in both) == collections.Counter(want)
     assert bpe.decode_ids(bpe.encode_texts(strange.limit(0))).count() == 0
 
 
