@@ -100,8 +100,32 @@ def class_prior(positive: np.ndarray, unlabelled: np.ndarray, most: float = 0.98
 
 
 def last_layer(places: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400) -> tuple[float, float]:
-    """Scale and offset along the direction by the non-negative risk over counts of texts at places."""
+    """Scale and offset along the direction by the non-negative risk over counts of texts at places.
+
+    While the risk of the negatives is not below zero the whole is convex, and Newton steps reach its
+    optimum; where it is below zero there, steps of the non-negative rule take over.
+    """
     wp, wu = positive / positive.sum(), unlabelled / unlabelled.sum()
+    columns, start = np.stack([places, np.ones(len(places))]), np.array([1.0, 0.0])
+
+    def unbiased(v: np.ndarray) -> float:
+        z = v @ columns
+        return float(wu @ np.logaddexp(0, z) - prior * (wp @ z) + 5e-6 * ((v - start) ** 2).sum())
+
+    best = start.copy()
+    for _ in range(100):
+        s = sigmoid(best @ columns)
+        slope = columns @ (wu * s - prior * wp) + 1e-5 * (best - start)
+        if np.abs(slope).max() < 1e-10:
+            break
+        move = np.linalg.solve((columns * (wu * s * (1 - s))) @ columns.T + 1e-5 * np.eye(2), slope)
+        size = 1.0
+        while size > 1e-9 and unbiased(best - size * move) > unbiased(best):
+            size /= 2
+        best = best - size * move
+    z = best @ columns
+    if best[0] >= 0.05 and wu @ np.logaddexp(0, z) >= prior * (wp @ np.logaddexp(0, z)):
+        return float(best[0]), float(best[1])
     value, first, second = np.array([1.0, 0.0]), np.zeros(2), np.zeros(2)
     for step in range(1, steps + 1):
         z = value[0] * places + value[1]

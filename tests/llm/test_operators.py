@@ -520,7 +520,11 @@ def test_class_prior_of_known_mixtures():
     places = np.linspace(-10, 10, 201)
     good, bad = np.exp(-((places - 3) ** 2) / 2), np.exp(-((places + 1) ** 2) / 2)
     scale, offset = quality_model.last_layer(places, good, 0.3 * good + 0.7 * bad, 0.3)
-    assert -4 < scale * -1 + offset < 0 < scale * 3 + offset
+    # Bayes' own: 4 x - 4 + ln(0.3 / 0.7).
+    assert (scale, offset) == pytest.approx((4.0, -4.0 + math.log(3 / 7)), abs=0.15)
+    # Without bad texts the risk of the negatives falls below zero: the steps of the non-negative rule stay finite.
+    scale, offset = quality_model.last_layer(places, good, good, 0.9)
+    assert scale >= 0.05 and math.isfinite(offset)
 
 
 def test_text_shape_of_odd_texts():
