@@ -13,7 +13,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -279,3 +279,59 @@ def out_of_range(rows: DataFrame, history: DataFrame, features: Sequence[str]) -
             d = (F.col(c) - middles[c][0]["m"]) / scales[0][f"s_{i}"]
             total, have = total + F.when(F.col(c).isNotNull(), d * d).otherwise(0.0), have + F.col(c).isNotNull().cast("double")
     return rows.withColumn("out_of_range", F.sqrt(F.try_divide(total, have)))
+
+
+def with_fold(rows: DataFrame, key: str, folds: int = 5, out: str = "fold") -> DataFrame:
+    """`rows` with a fold from 0 on, drawn by a hash of the key: for histories without usable periods."""
+    return rows.withColumn(out, F.pmod(F.xxhash64(F.lit("fold"), F.col(key).cast("string")), F.lit(folds)).cast("bigint"))
+
+
+def nested(history: DataFrame, design: Design) -> DataFrame:
+    """The key, label, fold, raw and calibrated probability of each labelled row, stored; design.period names the fold.
+
+    A row's model learns from the other folds. Its calibrator learns from scores of those folds that
+    models without both the row's fold and the scored one have given, so that the row's fold reaches
+    neither. A model without two folds serves both ways; all models are one plan of shared passes.
+    Folds whose others lack a class have no scores.
+    """
+    spark, t = history.sparkSession, design.period
+    by_fold = classes(history, design.label, t)
+    folds = sorted(by_fold)
+    outer = {h: i for i, h in enumerate(folds)}
+    pairs = {(h, i): len(folds) + n for n, (h, i) in enumerate((a, b) for a in folds for b in folds if a < b)}
+    plan = [(outer[h], q, 1.0) for h in folds for q in folds if q != h] + [(f, q, 1.0) for (h, i), f in pairs.items() for q in folds if q not in (h, i)]
+    labelled = history.where(F.col(design.label).isNotNull() & F.col(t).isNotNull()).withColumn(t, F.col(t).cast("bigint"))
+    kept = [design.key, design.label, t, "raw"]
+    if not plan:
+        return shared.stored(labelled.withColumns({"raw": F.lit(None).cast("double"), "probability": F.lit(None).cast("double")}).select(*kept, "probability").limit(0))
+    fitted = fit_plan(history, plan, by_fold, design)
+
+    def scored(uses: list[tuple[int, int, int]]) -> DataFrame:
+        """Rows by the (fold, calibrated fold, fit) that are asked for."""
+        asked = spark.createDataFrame(uses, "__fold bigint, __for bigint, __by bigint")
+        rows = labelled.join(F.broadcast(asked), F.col(t) == F.col("__fold"))
+        rated = with_rates(rows, "__by", history, plan, by_fold, design, own=False)
+        return shared.stored(fitted.score(rated, "__by", "raw").where("raw IS NOT NULL").select(*kept, "__for"))
+
+    inner = scored([(q, h, pairs[min(h, q), max(h, q)]) for h in folds for q in folds if q != h]) if pairs else None
+    own = scored([(h, h, outer[h]) for h in folds])
+    known = models.Fitted(["raw_logit"], {})
+    if inner is not None:
+        sizes = classes(inner, design.label, "__for")
+        enough = [h for h, c in sizes.items() if c.rows >= CALIBRATION_ROWS and min(c.positives, c.rows - c.positives) >= CALIBRATION_CLASS]
+        if enough:
+            second = Design(design.key, design.label, "__for", ["raw_logit"], {}, design.calibration_sample, None, design.l2, design.rounds)
+            known = fit_plan(inner.withColumn("raw_logit", _raw_logit()), [(h, h, 1.0) for h in enough], sizes, second)
+    return shared.stored(calibrated(own, known, "__for").select(*kept, "probability"))
+
+
+def families(history: DataFrame, design: Design, named: Mapping[str, Sequence[str]]) -> DataFrame:
+    """What each family of features alone reaches, judged as `judged` does, with `family`: simple baselines for a model of all of them."""
+    out = None
+    for name, features in sorted(named.items()):
+        alone = replace(design, features=list(features), contexts={})
+        one = judged(forward(history, alone), alone).withColumn("family", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        raise ValueError("no families given")
+    return out

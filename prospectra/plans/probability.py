@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,3 +94,16 @@ def next_period_probability(spark: SparkSession, root: str) -> DataFrame:
     history = rows.where(F.col("year") < F.lit(last))
     candidates = rows.where(F.col("year") == F.lit(last)).drop("large")
     return probability.predict(candidates, history, WHOLE).select("o_orderkey", "status", "raw", "probability", "low", "high", "out_of_range", "coverage")
+
+
+@register("nested_folds")
+def nested_folds(spark: SparkSession, root: str) -> DataFrame:
+    """Each order's probability out of fold, folds drawn by a hash, calibrated by folds within folds."""
+    rows = probability.with_fold(large_orders(spark, root), "o_orderkey")
+    return probability.nested(rows, replace(WHOLE, period="fold")).select("o_orderkey", "fold", "raw", "probability")
+
+
+@register("simple_baselines")
+def simple_baselines(spark: SparkSession, root: str) -> DataFrame:
+    """Per judged year what two families of features reach alone."""
+    return probability.families(large_orders(spark, root), WHOLE, {"lines": ["n_lines"], "money": ["o_totalprice", "balance"]})

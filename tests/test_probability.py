@@ -199,3 +199,24 @@ def test_missing_flags_reach_their_own_optimum(spark):
     assert np.abs(design @ beta - np.log(p / (1 - p))).max() < 1e-8
     g = design.T @ (p - y) / len(y) + 0.08 * np.append(beta[:2], 0)
     assert np.abs(g).max() < 1e-7 and beta[1] < -0.5
+
+
+def test_nested_folds_equal_fits_one_by_one(spark):
+    rows = history(seed=12, periods=4, n=60)
+    design = probability.Design("id", "y", "t", ["a", "b"], {"school": 12.0}, (2, 20, 60), (3, 30, 200))
+    got = {r.id: (r.raw, r.probability) for r in probability.nested(spark.createDataFrame(rows, SCHEMA), design).collect()}
+    known = [r for r in (dict(zip(["id", "y", "t", "a", "b", "school", "area"], r)) for r in rows) if r["y"] is not None]
+    assert set(got) == {r["id"] for r in known}
+    fit = lambda without: Plain([(r, 1.0) for r in known if r["t"] not in without], design.sample, design.contexts, design.features)
+    for h in sorted({r["t"] for r in known}):
+        inner = []
+        for q in sorted({r["t"] for r in known} - {h}):
+            model = fit({h, q})
+            inner += [({**r, "t": h, "raw_logit": logit(model.score(r))}, 1.0) for r in known if r["t"] == q]
+        through, model = Plain(inner, design.calibration_sample, {}, ["raw_logit"]), fit({h})
+        for r in [r for r in known if r["t"] == h]:
+            raw = model.score(r)
+            assert got[r["id"]] == pytest.approx((raw, through.score({"raw_logit": logit(raw), "y": 0})), abs=1e-6)
+    assert probability.nested(spark.createDataFrame([], SCHEMA), design).count() == 0
+    folds = {r.id: r.fold for r in probability.with_fold(spark.createDataFrame(rows, SCHEMA), "id").collect()}
+    assert set(folds.values()) == set(range(5))
