@@ -15,6 +15,8 @@ TRUE = ["1", "1.0", "true", "yes", "y", "drafted", "verified"]
 FALSE = ["0", "0.0", "false", "no", "n", "undrafted", "unverified"]
 #: Generational suffixes that a name key drops.
 SUFFIXES = ["jr", "sr", "ii", "iii", "iv"]
+
+
 def present(c: Column) -> Column:
     """The trimmed text, or null where it stands for a missing value."""
     text = F.trim(c.cast("string"))
@@ -43,21 +45,23 @@ def height_inches(c: Column) -> Column:
 
 
 @functools.lru_cache(maxsize=1)
-def _folds() -> tuple[str, str, list[tuple[str, str]]]:
-    """Letters whose compatibility decomposition leaves one ASCII character, those characters, and what leaves several."""
-    blocks = [range(0xA0, 0x250), range(0x1E00, 0x1F00), range(0xFB00, 0xFB07), range(0xFF01, 0xFF5F)]
-    left = {chr(c): unicodedata.normalize("NFKD", chr(c)).encode("ascii", "ignore").decode() for block in blocks for c in block}
+def _folds() -> tuple[str, str, dict[str, str]]:
+    """All characters whose compatibility decomposition leaves one ASCII character, those characters, and what leaves several."""
+    composed = [chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.decomposition(chr(c))]
+    left = {c: unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode() for c in composed}
     single = {c: t for c, t in left.items() if len(t) == 1}
-    return "".join(single), "".join(single.values()), [(c, t) for c, t in left.items() if len(t) > 1]
+    return "".join(single), "".join(single.values()), {c: t for c, t in left.items() if len(t) > 1}
 
 
 def ascii_text(c: Column) -> Column:
     """The text without accents and ligatures; characters that have no ASCII form are dropped."""
     singles, plain, several = _folds()
     text = F.translate(c.cast("string"), singles, plain)
-    # Ligatures and the like are rare: most texts skip the replacements.
-    replaced = functools.reduce(lambda t, pair: F.replace(t, F.lit(pair[0]), F.lit(pair[1])), several, text)
-    return F.regexp_replace(F.when(text.rlike(r"[^\x00-\x7F]"), replaced).otherwise(text), r"[^\x00-\x7F]", "")
+    # Ligatures and the like are rare: most texts skip this.
+    table = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
+    apart = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+    spelled = F.array_join(F.transform(apart, lambda x: F.coalesce(F.element_at(table, x), x)), "")
+    return F.regexp_replace(F.when(text.rlike(r"[^\x00-\x7F]"), spelled).otherwise(text), r"[^\x00-\x7F]", "")
 
 
 def name_key(c: Column) -> Column:

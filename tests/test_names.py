@@ -27,6 +27,15 @@ def test_name_keys_of_accented_letters(spark):
     assert [r.last for r in sorted(rows)[:3]] == ["nunez", "obriensmith", "ij"]
 
 
+def test_every_character_that_decomposes(spark):
+    composed = [chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000 and ascii_of(chr(c))]
+    names = ["x" + "".join(composed[i : i + 40]) + "y" for i in range(0, len(composed), 40)] + ["𝐉ohn", "Ⅷ", "2⁴", "a" + chr(0x1F600) + "b", "各"]
+    assert len(composed) > 1500
+    df = spark.createDataFrame(list(enumerate(names)), "i int, n string")
+    for r in df.select("i", S.ascii_text(F.col("n")).alias("a")).collect():
+        assert r.a == ascii_of(names[r.i]), names[r.i]
+
+
 def test_overlay_of_keys_on_one_side_only(spark):
     base = spark.createDataFrame([(1, 10.0, 1), (2, 20.0, None)], "k int, balance double, n int")
     other = spark.createDataFrame([(2, None, 5), (3, 30.0, 7)], "k int, balance double, n int")
