@@ -38,20 +38,22 @@ def finished_box(spark: SparkSession, root: str) -> DataFrame:
 
 @register(
     "roster_statistics",
-    """WITH s AS (SELECT l_suppkey AS id, 'name' || (l_suppkey // 2) AS key, sum(l_quantity) AS q FROM lineitem WHERE l_suppkey % 3 > 0 GROUP BY 1),
+    """WITH s AS (SELECT id, 'name' || (id // 2) AS key, sum(l_quantity) AS q FROM (SELECT CASE WHEN l_suppkey % 3 > 0 THEN l_suppkey ELSE l_suppkey + 1000000000 END AS id, l_quantity FROM lineitem) GROUP BY 1, 2),
        u AS (SELECT key, min(id) AS id FROM s GROUP BY 1 HAVING count(*) = 1),
        r AS (SELECT s_suppkey AS player, CASE WHEN s_suppkey % 4 > 0 THEN s_suppkey END AS id, 'name' || (s_suppkey // 2) AS key FROM supplier),
        m AS (SELECT player, coalesce(a.id, u.id) AS stats_of, CASE WHEN a.id IS NOT NULL THEN 'id' WHEN u.id IS NOT NULL THEN 'key' END AS method, r.key, r.id AS rid FROM r LEFT JOIN s a ON a.id = r.id LEFT JOIN u ON u.key = r.key),
        c AS (SELECT *, row_number() OVER (PARTITION BY stats_of ORDER BY CASE method WHEN 'id' THEN 0 ELSE 1 END, rid NULLS FIRST, key) AS place FROM m)
        SELECT player, CASE WHEN place = 1 OR stats_of IS NULL THEN stats_of END AS stats_of, CASE WHEN place = 1 AND stats_of IS NOT NULL THEN method END AS stats_of_method FROM c
-       UNION ALL SELECT -id, id, 'orphan' FROM s WHERE id NOT IN (SELECT player FROM r WHERE player % 5 > 0)""",
+       UNION ALL SELECT -id, id, 'orphan' FROM s WHERE id NOT IN (SELECT player FROM r)""",
 )
 def roster_statistics(spark: SparkSession, root: str) -> DataFrame:
     key = lambda c: F.concat(F.lit("name"), F.floor(F.col(c) / 2))
-    stats = table(spark, root, "lineitem").where("l_suppkey % 3 > 0").groupBy(F.col("l_suppkey").alias("id")).agg(F.sum("l_quantity").alias("q")).withColumn("key", key("id")).withColumn("value", F.col("id"))
+    # A third of the suppliers have their statistics under an id that no roster knows.
+    known = F.when(F.col("l_suppkey") % 3 > 0, F.col("l_suppkey")).otherwise(F.col("l_suppkey") + 1000000000)
+    stats = table(spark, root, "lineitem").groupBy(known.alias("id")).agg(F.sum("l_quantity").alias("q")).withColumn("key", key("id")).withColumn("value", F.col("id"))
     players = table(spark, root, "supplier").select(F.col("s_suppkey").alias("player"), F.when(F.col("s_suppkey") % 4 > 0, F.col("s_suppkey")).alias("id"), key("s_suppkey").alias("key"))
     matched = rosters.with_statistics(players, stats, ["id", "key"], "value").select("player", "stats_of", "stats_of_method")
-    left = rosters.orphans(stats, players.where("player % 5 > 0").select(F.col("player").alias("id")), "id")
+    left = rosters.orphans(stats, players.select(F.col("player").alias("id")), "id")
     return matched.unionByName(left.select((-F.col("id")).alias("player"), F.col("id").alias("stats_of"), F.lit("orphan").alias("stats_of_method")))
 
 

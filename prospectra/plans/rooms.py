@@ -11,7 +11,7 @@ from prospectra.plans.catalog import register
 from prospectra.sources.tables import table
 
 _ROOMS = """WITH g AS (SELECT n_nationkey AS team, k AS room FROM nation, (SELECT unnest([0, 1, 2]) AS k)),
-       p AS (SELECT c_nationkey AS team, c_custkey % 3 AS room, CASE WHEN c_custkey % 5 > 0 THEN 20 + c_custkey % 17 END AS age, CASE WHEN c_custkey % 7 > 0 THEN CAST(c_custkey % 11 AS DOUBLE) END AS experience FROM customer WHERE c_nationkey <> 4),
+       p AS (SELECT nullif(c_nationkey, 4) AS team, c_custkey % 3 AS room, CASE WHEN c_custkey % 5 > 0 THEN 20 + c_custkey % 17 END AS age, CASE WHEN c_custkey % 7 > 0 THEN CAST(c_custkey % 11 AS DOUBLE) END AS experience FROM customer),
        h AS (SELECT team, room, count(*) AS n, avg(age) AS age, avg(experience) AS exp, count(age) / count(*) AS ac, count(experience) / count(*) AS ec, sum(CASE WHEN experience >= 5 THEN 1 ELSE 0 END) / nullif(count(experience), 0) AS vet FROM p GROUP BY 1, 2),
        d AS (SELECT s_nationkey AS team, s_suppkey % 3 AS room, sum(exp(-(s_suppkey % 250) / 80.0)) AS cap FROM supplier GROUP BY 1, 2),
        r AS (SELECT g.team, g.room, coalesce(n, 0) AS n, age, exp, coalesce(ac, 0) AS ac, coalesce(ec, 0) AS ec, vet, coalesce(cap, 0) AS cap FROM g LEFT JOIN h ON h.team = g.team AND h.room = g.room LEFT JOIN d ON d.team = g.team AND d.room = g.room)"""
@@ -35,7 +35,7 @@ def _rank(c: str) -> str:
 def room_needs(spark: SparkSession, root: str) -> DataFrame:
     key = F.col("c_custkey")
     grid = table(spark, root, "nation").select(F.col("n_nationkey").alias("team"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("room"))
-    players = table(spark, root, "customer").where("c_nationkey <> 4").select(F.col("c_nationkey").alias("team"), (key % 3).cast("int").alias("room"), F.when(key % 5 > 0, 20 + key % 17).alias("age"), F.when(key % 7 > 0, (key % 11).cast("double")).alias("experience"))
+    players = table(spark, root, "customer").select(F.nullif(F.col("c_nationkey"), F.lit(4)).alias("team"), (key % 3).cast("int").alias("room"), F.when(key % 5 > 0, 20 + key % 17).alias("age"), F.when(key % 7 > 0, (key % 11).cast("double")).alias("experience"))
     picks = table(spark, root, "supplier").select(F.col("s_nationkey").alias("team"), (F.col("s_suppkey") % 3).cast("int").alias("room"), (F.col("s_suppkey") % 250 + 1).alias("pick"))
     held = rooms.room_profiles(grid, players, picks, ["team", "room"])
     held = held.withColumns({c: F.round(c, 9) for c in (*rooms.TRANSITION, "draft_capital")})
