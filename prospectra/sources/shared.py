@@ -7,6 +7,7 @@ import uuid
 from types import TracebackType
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
 
@@ -45,3 +46,9 @@ class Shelf:
 def stored(df: DataFrame) -> DataFrame:
     """A table that is returned: written and read again, and left for the cluster's cleaning of the folder."""
     return Shelf(df.sparkSession).put(df)
+
+
+def lookup(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """A stored table that joins take whole to every task if it has few rows, and shuffle if it has more."""
+    kept = stored(df)
+    return F.broadcast(kept) if kept.count() <= rows else kept
