@@ -45,4 +45,4 @@ def oracle_sql() -> dict[str, str]:
 
 def _load() -> None:
     """Importing a plan module registers its queries."""
-    from prospectra.plans import aggregates, boards, identities, matching, models, probability, production, ranking, refresh, rooms, rules, scalars, statistics, texts  # noqa: F401
+    from prospectra.plans import aggregates, boards, history, identities, matching, models, probability, production, ranking, refresh, rooms, rules, scalars, statistics, texts  # noqa: F401
