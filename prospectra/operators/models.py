@@ -120,7 +120,7 @@ def fit_dealt(dealt: DataFrame, features: Sequence[str], l2: float, rounds: int
         lacking = {r["__fit"]: np.array([flags and r[f"m{i}"] for i in range(k)], bool) for r in seen}
         found = {f: np.zeros(k) for f in total}
         long = raw.unpivot(["__fit", "__weight"], [f"x{i}" for i in range(k)], "__name", "__x").where("__x IS NOT NULL")
-        for r in counted_quantiles(long, ["__fit", "__name"], "__x", {"m": 0.5}, "__weight").collect():
+        for r in counted_quantiles(long, ["__fit", "__name"], "__x", {"m": 0.5}, "__weight", ranged=True).collect():
             if r["__fit"] in found:
                 found[r["__fit"]][int(r["__name"][1:])] = r["m"]
         filled = against(found, "med", raw).select("__fit", "__weight", "__y", *[F.coalesce(f"x{i}", F.col("med")[i]).alias(f"x{i}") for i in range(k)], *[F.col(f"x{i}").isNull().cast("double").alias(f"m{i}") for i in range(k)])

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from prospectra.operators import metrics, models
-from prospectra.operators.robust import counted_quantiles, robust_scale
+from prospectra.operators.robust import LEAST, counted_quantiles
 from prospectra.sources import shared
 
 #: A calibrator's least rows and rows of each class; periods that only train before the first one judged.
@@ -270,14 +270,22 @@ def predict(candidates: DataFrame, history: DataFrame, design: Design, done: For
 
 def out_of_range(rows: DataFrame, history: DataFrame, features: Sequence[str]) -> DataFrame:
     """`rows` with out_of_range: the root mean square of robust distances from the history's medians, over the features that a row has."""
-    whole = history.withColumn("__every", F.lit(1))
-    middles = {c: counted_quantiles(whole, ["__every"], c, {"m": 0.5}).collect() for c in features}
-    scales = robust_scale(whole, ["__every"], {c: f"s_{i}" for i, c in enumerate(features)}).collect()
+    if not features:
+        return rows.withColumn("out_of_range", F.lit(None).cast("double"))
+    long = history.select(*[F.col(c).cast("double").alias(c) for c in features]).unpivot([], list(features), "__name", "__x").where("__x IS NOT NULL")
+
+    def middles(values: DataFrame) -> dict[str, float]:
+        return {r["__name"]: r["m"] for r in counted_quantiles(values, ["__name"], "__x", {"m": 0.5}, ranged=True).collect()}
+
+    middle = middles(long)
+    spread = {r["__name"]: r["s"] for r in long.groupBy("__name").agg(F.stddev_pop("__x").alias("s")).collect()}
+    at = F.create_map(*[F.lit(x) for pair in middle.items() for x in pair]) if middle else None
+    away = middles(long.withColumn("__x", F.abs(F.col("__x") - at[F.col("__name")]))) if middle else {}
     total, have = F.lit(0.0), F.lit(0.0)
-    for i, c in enumerate(features):
-        if middles[c] and scales:
-            d = (F.col(c) - middles[c][0]["m"]) / scales[0][f"s_{i}"]
-            total, have = total + F.when(F.col(c).isNotNull(), d * d).otherwise(0.0), have + F.col(c).isNotNull().cast("double")
+    for c in [c for c in features if c in middle]:
+        scale = 1.4826 * away[c] if 1.4826 * away[c] > LEAST else spread[c] if spread[c] > LEAST else 1.0
+        d = (F.col(c) - middle[c]) / scale
+        total, have = total + F.when(F.col(c).isNotNull(), d * d).otherwise(0.0), have + F.col(c).isNotNull().cast("double")
     return rows.withColumn("out_of_range", F.sqrt(F.try_divide(total, have)))
 
 
