@@ -26,6 +26,8 @@ RANK, EPOCHS = 4, 80
 LEAST_POWER, PAIR_POWER = 3.0, 5.5
 #: Buckets whose pairs are looked at, the most frequent ones.
 PAIRED = 1024
+#: What the factors may add to all but a hundredth of the texts' logits before the first step.
+START = 1.0
 
 
 @dataclass
@@ -107,6 +109,9 @@ def fit(doc: np.ndarray, bucket: np.ndarray, y: np.ndarray, weights: np.ndarray,
     for k, (a, b, sign) in enumerate(pairs):  # factors begin where the pairs point
         params[2][slots[a], k % rank] += 1.5
         params[2][slots[b], k % rank] += 1.5 * sign
+    # A bucket of many pairs adds theirs up, and a text of many such buckets their squares: all shrink until few texts begin beyond START.
+    begun = np.abs(Machine(0.0, chosen, np.zeros(m), params[2]).logits(d, s, n))
+    params[2] /= np.sqrt(max(1.0, float(np.quantile(begun, 0.99)) / START)) if n else 1.0
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     share = weights / max(weights.sum(), 1e-12)
     for step in range(1, epochs + 1):

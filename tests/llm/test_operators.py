@@ -466,6 +466,30 @@ def test_toxicity_keeps_no_neutral_buckets_of_an_enriched_sample():
     assert 3 in m.bucket and len(m.bucket) <= 3
 
 
+def test_toxicity_fits_beside_many_lifted_pairs():
+    """Insults tell all, two or more in a toxic text, which pairs of them exceed; texts are long and of many common words."""
+    rng = np.random.default_rng(4)
+    texts = 3000
+    y = (rng.random(texts) < 0.25).astype(float)
+    rows = []
+    for i in range(texts):
+        own = 700 * int(rng.random() < 0.75 or y[i] > 0)  # one language has the insults
+        size = int(np.clip(rng.lognormal(5, 1), 10, 600))
+        common = set(own + rng.integers(0, 600, size)) | set(own + (rng.zipf(1.3, size) % 600))
+        rows += [(i, int(k)) for k in common]
+        if y[i]:
+            rows += [(i, 5000 + int(k)) for k in rng.choice(40, int(rng.integers(2, 30)), replace=False)]
+    doc, bucket = np.array(sorted(rows)).T
+    train = doc < 2000
+    assert len(toxicity.lifted_pairs(doc[train], bucket[train], y[:2000] - y[:2000].mean())) > 100
+    m = toxicity.fit(doc[train], bucket[train], y[:2000], np.ones(2000))
+    slots = np.full(toxicity.BUCKETS, -1)
+    slots[m.bucket] = np.arange(len(m.bucket))
+    hit = slots[bucket] >= 0
+    told = (m.logits(doc[hit], slots[bucket[hit]], texts) > 0)[2000:]
+    assert told[y[2000:] > 0].mean() > 0.97 and told[y[2000:] == 0].mean() < 0.02
+
+
 def labelled_tables(spark):
     r = random.Random(3)
     bad = lambda i: i % 6 == 0
