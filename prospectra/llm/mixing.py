@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from prospectra.llm import rows as places
 from prospectra.llm import scratch, textstats
 
 #: Documents of one source that share a bucket, about.
@@ -135,13 +136,16 @@ def _decided(df: DataFrame, key: str, text: str, source: str, keep: Sequence[str
     """The columns in `keep` as __c0, __c1 and so on, with __size, source_size, target and __copies."""
     prepared = _prepared(df, key, text, source, seed)
     inner = ["__source", "__size", "__tie", "__at", "__key"]
-    narrow = scratch.stored(prepared.select(*inner))
-    how = plan(narrow, cycle, repeats)
     kept = [f"__c{i}" for i in range(len(keep))]
+    wide = prepared.select(*[F.col(c).alias(n) for c, n in zip(keep, kept, strict=True)], *inner)
     if set(keep) <= {key, source}:
+        narrow = scratch.stored(prepared.select(*inner))
         wide = narrow.select("*", *[F.col("__key" if c == key else "__source").alias(n) for c, n in zip(keep, kept, strict=True)])
+    elif text in keep:
+        narrow = scratch.stored(prepared.select(*inner))
     else:
-        wide = prepared.select(*[F.col(c).alias(n) for c, n in zip(keep, kept, strict=True)], *inner)
+        narrow = wide = scratch.stored(wide)
+    how = plan(narrow, cycle, repeats)
     done = _queued(wide, how.targets, how.bases, how.digits)
     copies = sum((F.when((F.col("__size") > 0) & (_finish(t) <= how.last), 1).otherwise(0) for t in range(how.repeats)), F.lit(0))
     return done.select(*kept, "__size", "source_size", "target", copies.alias("__copies"))
@@ -175,6 +179,6 @@ def mix(
 
 def mixed_rows(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", cycle: Sequence[int] = (1, 2, 3), repeats: int = 3, seed: int = 0) -> DataFrame:
     """The rows of `df` that `mix` takes, each as often as it does, with all their columns, whatever their names."""
-    done = _decided(df, key, text, source, df.columns, cycle, repeats, seed).where("__copies > 0")
-    each = done.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return each.select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(df.columns)])
+    placed = places.numbered(df)
+    done = _decided(placed, key, text, source, ["__row"], cycle, repeats, seed).where("__copies > 0")
+    return places.taken(placed, done.select(F.col("__c0").alias("__row"), F.col("__copies").alias("__times")), repeats)

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from prospectra.llm import rows as places
 from test_operators import WORD, base_statistics
 
 CLASHES = ["predicted", "score", "held_out", "size", "target", "taken", "copies", "source_size", "n_words", "kept", "component_id", "n_shingles", "piece", "length", "offset"]
@@ -139,3 +140,21 @@ def test_pipeline_judges_rows_not_ids(spark, tmp_path):
     spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {x.doc_id for x in packed} <= {1, 3, 5, None} and {1, 3, 5} <= {x.doc_id for x in packed}
+
+
+def test_rows_are_taken_without_a_shuffle_of_what_they_hold(spark, tmp_path, monkeypatch):
+    """By bitmaps and by a join, as often as wanted, from several files; the last step of mixing moves no texts."""
+    df = spark.range(70_000).select((F.col("id") * 3).alias("doc_id"), F.concat(F.lit("a b "), "id").alias("text"), F.lit("s").alias("source")).repartition(2)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    placed = places.numbered(docs)
+    times = F.col("doc_id") % 4
+    wanted = placed.where(times > 0).select("__row", times.alias("__times"))
+    want = collections.Counter({k: k % 4 for k in range(0, 210_000, 3) if k % 4})
+    assert collections.Counter(r[0] for r in places.taken(placed, wanted, 3).select("doc_id").collect()) == want
+    once = places.taken(placed, wanted.withColumn("__times", F.lit(1)))
+    assert once.columns == docs.columns and collections.Counter(r[0] for r in once.select("doc_id").collect()) == collections.Counter(set(want))
+    mixed = corpus_pipeline.mix_sources(spark, docs, "")
+    assert "hashpartitioning" not in mixed._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(places, "BROADCAST_MAPS", 0)
+    assert collections.Counter(r[0] for r in places.taken(placed, wanted, 3).select("doc_id").collect()) == want
