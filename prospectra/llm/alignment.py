@@ -15,7 +15,7 @@ from __future__ import annotations
 import functools
 import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +27,8 @@ from prospectra.llm import scratch, vocabularies, words
 
 #: Parts that a task remembers, and the longest, in characters, that it does.
 REMEMBERED, LONGEST = 300_000, 64
+#: Parts that are encoded as one text.
+JOINED = 64
 #: Distinct id pairs whose counts are broadcast (16 bytes each); more are joined in so many shares of each pair.
 BROADCAST_PAIRS, SHARES = 4_000_000, 16
 _SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
@@ -40,7 +42,9 @@ def expanded(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def overlaps(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per elementary interval of two sides that cover the same bytes: the token of either side, and the group."""
-    ends = np.union1d(ends_a, ends_b)
+    ends = np.concatenate([ends_a, ends_b])
+    ends.sort(kind="stable")  # two runs in order
+    ends = ends[np.concatenate([[True], ends[1:] != ends[:-1]])] if len(ends) else ends
     a, b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
     closes = (ends_a[a] == ends) & (ends_b[b] == ends)
     return a, b, np.cumsum(closes) - closes
@@ -73,12 +77,11 @@ class Side:
         self.bytes, self.sizes, self.n = pa.array(spelled, pa.large_binary()), np.array([len(x) for x in spelled], np.int64), len(spelled)
         self.names = pa.array([f"{i}{c}".encode() for c in (",", end) for i in range(len(spelled))], pa.large_binary())
 
-    def gives_back(self, ids: np.ndarray, part: np.ndarray, raw: list[bytes]) -> np.ndarray:
-        """For each part whether its tokens' bytes are the part's own."""
-        sizes = np.array([len(r) for r in raw], np.int64)
-        good = np.bincount(part, self.sizes[ids], len(raw)).astype(np.int64) == sizes
+    def gives_back(self, ids: np.ndarray, part: np.ndarray, raw: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """For each part whether its tokens' bytes are the part's own; `raw` has the parts' bytes one after another."""
+        good = np.bincount(part, self.sizes[ids], len(sizes)).astype(np.int64) == sizes
         found, _ = _taken(self.bytes, ids[good[part]])
-        wanted = np.frombuffer(b"".join([r for r, g in zip(raw, good.tolist(), strict=True) if g]), np.uint8)
+        wanted = raw[np.repeat(good, sizes)]
         where = np.flatnonzero(found != wanted)
         if len(where):
             good[np.repeat(np.flatnonzero(good), sizes[good])[where]] = False
@@ -89,7 +92,7 @@ class Aligner:
     """Parts of texts to their groups and links.
 
     Part k, once learnt, has the numbers counts[k] (n_a, n_b, n_groups, n_links), the text groups[k],
-    and the distinct pairs and their times from first[k] on, sizes[k] of them.
+    and the distinct pairs and their times from first[k] on, sizes[k] of them; used[k] batches had it.
     """
 
     def __init__(self, a: str, b: str):
@@ -110,24 +113,70 @@ class Aligner:
         self.counts, self.groups = np.zeros((0, 4), np.int64), []
         self.first, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pairs, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.used = np.zeros(0, np.int64)
+
+    def shrink(self) -> None:
+        """Forgets all parts but those met in several batches, of these the most used, half of REMEMBERED at most."""
+        names, at = list(self.known), np.fromiter(self.known.values(), np.int64, len(self.known))
+        keep = np.flatnonzero(self.used[at] > 1)
+        keep = keep[np.argsort(-self.used[at[keep]], kind="stable")[: REMEMBERED // 2]]
+        at = at[keep]
+        self.known = {names[i]: k for k, i in enumerate(keep.tolist())}
+        self.groups = [self.groups[i] for i in at.tolist()]
+        places = expanded(self.first[at], self.sizes[at])
+        self.pairs, self.times = self.pairs[places], self.times[places]
+        self.counts, self.sizes, self.used = self.counts[at], self.sizes[at], self.used[at]
+        self.first = np.cumsum(self.sizes) - self.sizes
+
+    @staticmethod
+    def _coded(side: Side, spaced: list[str], raw: np.ndarray, sizes: np.ndarray, edged: np.ndarray, encode: Callable[[list[str]], list[list[int]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, part, good) of parts with their spaces: the ids and whose they are, and for each part whether its bytes are given back.
+
+        Parts that begin and end without white space, those not `edged`, are encoded many at once, as they are in texts,
+        and told apart by their bytes. Where these differ, and all others, are encoded one by one.
+        """
+
+        def flat(codes: list[list[int]], owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            of = np.repeat(owner, np.fromiter(map(len, codes), np.int64, len(codes)))
+            return np.fromiter(itertools.chain.from_iterable(codes), np.int64, len(of)), of
+
+        alone = edged.copy()
+        inner = np.flatnonzero(~alone)
+        ids, part = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if len(inner):
+            firsts = np.arange(0, len(inner), JOINED)
+            listed = [spaced[i] for i in inner.tolist()]
+            ids, chunk = flat(encode(["".join(listed[k : k + JOINED]) for k in firsts.tolist()]), np.arange(len(firsts)))
+            ends, upto = np.cumsum(sizes[inner]), np.cumsum(side.sizes[ids])
+            begin = np.searchsorted(chunk, np.arange(len(firsts)))
+            before = np.concatenate([[0], upto])[begin]  # tokens' bytes before each chunk
+            at = upto + (ends[firsts] - sizes[inner][firsts] - before)[chunk]
+            last = np.minimum(firsts + JOINED, len(inner)) - 1
+            part = inner[np.clip(np.searchsorted(ends, at), firsts[chunk], last[chunk])]
+            wrong = ~side.gives_back(ids, part, raw, sizes)[inner]
+            alone[inner] = np.isin(np.arange(len(inner)) // JOINED, np.flatnonzero(wrong) // JOINED)
+        again = np.flatnonzero(alone)
+        if len(again):
+            keep = ~alone[part]
+            more, whose = flat(encode([spaced[i] for i in again.tolist()]), again)
+            ids, part = np.concatenate([ids[keep], more]), np.concatenate([part[keep], whose])
+            order = np.argsort(part, kind="stable")
+            ids, part = ids[order], part[order]
+            return ids, part, side.gives_back(ids, part, raw, sizes)
+        return ids, part, np.ones(len(spaced), bool)
 
     def learn(self, parts: list[str]) -> None:
         """Aligns parts, each of a space and what follows it; those whose bytes a side does not give back have no groups."""
-        raw = [(" " + p).encode() for p in parts]
-        codes_a = [e.ids for e in self.a.encode_batch_fast([" " + p for p in parts], add_special_tokens=False)]
-        codes_b = self.b.encode(parts, num_threads=1)
-        sides = []
-        good = np.ones(len(parts), bool)
-        for side, codes in ((self.side_a, codes_a), (self.side_b, codes_b)):
-            part = np.repeat(np.arange(len(parts)), [len(c) for c in codes])
-            ids = np.fromiter(itertools.chain.from_iterable(codes), np.int64, len(part))
-            good &= side.gives_back(ids, part, raw)
-            sides.append((side, ids, part))
-        for k, p in enumerate(parts):
-            self.known[p] = len(self.groups) + k
+        spaced = [" " + p for p in parts]
+        raw, at = _taken(pa.array(spaced, pa.large_string()), np.arange(len(parts)))
+        edged = np.fromiter((not p or p[0].isspace() or p[-1].isspace() for p in parts), bool, len(parts))
+        coded_a = self._coded(self.side_a, spaced, raw, np.diff(at), edged, lambda ts: [e.ids for e in self.a.encode_batch_fast(ts, add_special_tokens=False)])
+        coded_b = self._coded(self.side_b, spaced, raw, np.diff(at), edged, lambda ts: self.b.encode([t[1:] for t in ts], num_threads=1))
+        good = coded_a[2] & coded_b[2]
+        self.known.update(zip(parts, itertools.count(len(self.groups)), strict=False))
         counts, texts, sizes = np.zeros((len(parts), 4), np.int64), [b""] * len(parts), np.zeros(len(parts), np.int64)
         if good.any():
-            (ids_a, part_a), (ids_b, part_b) = [(ids[good[part]], part[good[part]]) for _, ids, part in sides]
+            (ids_a, part_a), (ids_b, part_b) = [(ids[good[part]], part[good[part]]) for ids, part, _ in (coded_a, coded_b)]
             # Parts end where both sides end a token, so groups stay inside parts.
             a, b, group = overlaps(np.cumsum(self.side_a.sizes[ids_a]), np.cumsum(self.side_b.sizes[ids_b]))
             group_a, group_b = (group[np.searchsorted(owner, np.arange(len(ids)))] for owner, ids in ((a, ids_a), (b, ids_b)))
@@ -158,6 +207,7 @@ class Aligner:
             self.pairs, self.times = np.concatenate([self.pairs, pair[fresh]]), np.concatenate([self.times, np.add.reduceat(times, fresh)])
         else:
             self.first = np.concatenate([self.first, np.full(len(parts), len(self.pairs))])
+        self.used = np.concatenate([self.used, np.zeros(len(parts), np.int64)])
         self.sizes = np.concatenate([self.sizes, sizes])
         self.counts = np.concatenate([self.counts, counts])
         self.groups += texts
@@ -172,14 +222,15 @@ class Aligner:
         every = set().union(*split)
         new = [p for p in every if p not in self.known]
         if len(self.groups) + len(new) > REMEMBERED:
-            self.forget()
-            new = list(every)
+            self.shrink()
+            new = [p for p in every if p not in self.known]
         if new:
             self.learn(new)
         known = self.known.__getitem__
         places = [list(map(known, ps)) for ps in split]
         sizes = np.array([len(p) for p in places], np.int64)
         flat = np.fromiter(itertools.chain.from_iterable(places), np.int64, int(sizes.sum()))
+        self.used[flat] += 1
         text = np.repeat(np.arange(len(texts)), sizes)
         broken = np.zeros(len(texts), bool)
         broken[text[self.counts[flat, 0] == 0]] = True

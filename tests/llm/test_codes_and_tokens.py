@@ -154,6 +154,24 @@ def test_alignment_with_little_memory(monkeypatch):
     assert [[x.tolist() if hasattr(x, "tolist") else x for x in small.align([t])] for t in texts] == want
 
 
+def test_parts_that_come_back_are_learnt_once(monkeypatch):
+    monkeypatch.setattr(alignment, "REMEMBERED", 40)
+    small = alignment.Aligner("byte_bpe_50k.json", "piece_bpe_32k.model")
+    learnt, learn = collections.Counter(), small.learn
+    monkeypatch.setattr(small, "learn", lambda parts: (learnt.update(parts), learn(parts)))
+    for k in range(12):
+        small.align([" ".join([f"common{i}" for i in range(10)] + [f"new{k}x{i}" for i in range(10)])])
+    assert all(learnt[f"common{i}"] == 1 for i in range(10)) and len(small.known) <= 40
+
+
+def test_parts_encoded_together_equal_parts_alone(monkeypatch):
+    texts = [t for t in odd_texts(200, 11) if t] + ["a\u00a0 b", "\u3000x y", "caf\u00e9 \ufb01ne \u2460 z", "<|endoftext|> a <unk> b <s>", "\x00 c", "  d  e ", " "]
+    together = alignment.Aligner("byte_bpe_50k.json", "piece_bpe_32k.model").align(texts)
+    monkeypatch.setattr(alignment, "JOINED", 1)
+    alone = alignment.Aligner("byte_bpe_50k.json", "piece_bpe_32k.model").align(texts)
+    assert all(list(x) == list(y) for x, y in zip(map(np.ravel, together), map(np.ravel, alone), strict=True))
+
+
 def test_alignment_of_a_table(spark):
     root = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{root}/documents.parquet").collect()]
