@@ -53,6 +53,16 @@ def _restored(data: bytes, kind: str, size: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, size).T).view(kind).ravel()
 
 
+def _alike(pairs: np.ndarray, cv: np.ndarray, cw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of one bigram of each distinct three counts, and for each bigram which of these has its own."""
+    order = np.lexsort((cw, cv, pairs))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = np.any([x[order][1:] != x[order][:-1] for x in (pairs, cv, cw)], axis=0)
+    rank = np.empty(len(order), "<u4")
+    rank[order] = np.cumsum(fresh) - 1
+    return order[fresh], rank
+
+
 def _identity(pairs: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """What tells bigrams of a bucket apart, and their buckets, from full hashes.
 
@@ -154,9 +164,11 @@ def _blocks(rows: DataFrame, kind: str, known, total: int, distinct: int, bucket
                 own = np.lexsort((types[lo:hi], cv[first[lo:hi]]))
                 place = np.empty(len(own), "<u4")
                 place[own] = np.arange(len(own))
+                refs = place[of[at] - lo]
+                refs = refs[np.lexsort((refs, doc[at]))]
                 of_first = first[lo:hi][own]
                 steps = np.diff(types[lo:hi][own], prepend=np.uint64(0))
-                for k, x in enumerate((steps, seen[lo:hi][own], cv[of_first], cw[of_first], place[of[at] - lo], uses.astype("<u4"))):
+                for k, x in enumerate((steps, seen[lo:hi][own], cv[of_first], cw[of_first], refs, uses.astype("<u4"))):
                     out[2 + k].append(_squeezed(x))
                 out[8].append(int(hi - lo))
                 out[9].append(len(docs))
@@ -174,6 +186,9 @@ def _blocks(rows: DataFrame, kind: str, known, total: int, distinct: int, bucket
 def _counted(blocks: DataFrame, total: int) -> DataFrame:
     """The blocks with their bigrams' counts over all training texts, as `pairs`, in place of `types` and `seen`.
 
+    Only the three counts of a bigram matter from here on: bigrams of a block with the same ones become one,
+    in ascending order, of which pairs and contexts are kept as steps.
+
     Each bucket adds a row of its training occurrences for the weights: in `rows`, the bin of the
     context and the grid cell of both estimates from the counts without the occurrence; in `uses`,
     how many occurrences are there.
@@ -182,7 +197,8 @@ def _counted(blocks: DataFrame, total: int) -> DataFrame:
     def count(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         size = table.column("size").to_numpy()
-        packed, seen_in, cvs, cws = (table.column(c).to_pylist() for c in ("types", "seen", "cv", "cw"))
+        packed, seen_in, cvs, cws, refs, uses = (table.column(c).to_pylist() for c in ("types", "seen", "cv", "cw", "refs", "uses"))
+        docs, sizes = table.column("docs").to_numpy(), size.copy()
         full = [i for i in range(len(size)) if packed[i] is not None]
         new: list[bytes | None] = [None] * len(size)
         cells, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -191,14 +207,23 @@ def _counted(blocks: DataFrame, total: int) -> DataFrame:
             seen = np.concatenate([_restored(seen_in[i], "<i8", int(size[i])) for i in full])
             kinds, of = np.unique(types, return_inverse=True)
             pairs = np.bincount(of, seen, len(kinds)).astype(np.int64)[of]
+            cv, cw = (np.concatenate([_restored(x[i], "<i8", int(size[i])) for i in full]) for x in (cvs, cws))
             at = 0
             for i in full:
-                new[i] = _squeezed(pairs[at : at + size[i]])
+                own = slice(at, at + int(size[i]))
+                some, rank = _alike(pairs[own], cv[own], cw[own])
+                new[i], cvs[i] = (_squeezed(np.diff(x[own][some], prepend=0)) for x in (pairs, cv))
+                cws[i] = _squeezed(cw[own][some])
+                often = _restored(uses[i], "<u4", int(docs[i]))
+                of_block = rank[_restored(refs[i], "<u4", int(often.sum()))]
+                refs[i] = _squeezed(of_block[np.lexsort((of_block, np.repeat(np.arange(len(often)), often)))])
+                sizes[i] = len(some)
                 at += int(size[i])
-            cv, cw = (np.concatenate([_restored(x[i], "<i8", int(size[i])) for i in full]) for x in (cvs, cws))
             use = seen > 0
             cells, of = np.unique(_cell(pairs[use], cv[use], cw[use], total), return_inverse=True)
             times = np.bincount(of, seen[use], len(cells)).astype(np.int64)
+        for name, values in (("cv", cvs), ("cw", cws), ("refs", refs), ("size", sizes)):
+            table = table.set_column(table.schema.get_field_index(name), table.schema.field(name), pa.array(values, table.schema.field(name).type))
         table = table.drop_columns(["types", "seen"]).append_column("pairs", pa.array(new, pa.binary()))
         blank = {f.name: None for f in table.schema} | {"bucket": -1, "rows": _squeezed(cells), "uses": _squeezed(times), "size": len(cells)}
         return pa.concat_tables([table, pa.Table.from_pylist([blank], table.schema)])
@@ -266,7 +291,8 @@ def _scored(counted: DataFrame, weights: np.ndarray, total: int, distinct: int)
             rows, sums = [], []
             for row in batch.to_pylist():
                 n, size = row["size"], row["docs"]
-                pairs, cv, cw = (_restored(row[k], "<i8", n) for k in ("pairs", "cv", "cw"))
+                pairs, cv = (np.cumsum(_restored(row[k], "<i8", n)) for k in ("pairs", "cv"))
+                cw = _restored(row["cw"], "<i8", n)
                 uses = _restored(row["uses"], "<u4", size)
                 refs = _restored(row["refs"], "<u4", int(uses.sum()))
                 rows.append(_restored(row["rows"], "<u8", size).astype(np.int64))

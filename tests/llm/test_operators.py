@@ -142,6 +142,20 @@ def test_language_model_base_and_shuffled_counts(documents, empty):
     assert language_model.score_texts(empty).count() == 0
 
 
+def test_language_model_keeps_counts_once(spark):
+    """Bigrams of a block with the same counts are stored as one, and scores stay those of all bigrams."""
+    pairs, cv, cw = np.array([1, 2, 1, 1, 2]), np.array([3, 3, 3, 4, 3]), np.array([5, 5, 5, 5, 5])
+    some, rank = language_model._alike(pairs, cv, cw)
+    assert len(some) == 3 and all((x[some][rank] == x).all() for x in (pairs, cv, cw))
+    texts = [(i, " ".join(f"w{i}x{j}" for j in range(200))) for i in range(40)]
+    rows = spark.createDataFrame(texts, "__row bigint, __text string").select("__row", F.col("__row").alias("__key"), F.lit(True).alias("__train"), "__text")
+    counts = language_model.token_counts(rows).toPandas().sort_values("token", key=lambda c: c.astype("int64").to_numpy().view(np.uint64))
+    known = spark.sparkContext.broadcast((counts["token"].to_numpy().view(np.uint64), counts["count"].to_numpy()))
+    total = int(counts["count"].sum())
+    counted = language_model._counted(language_model._blocks(rows, "bigint", known, total, len(counts), 1, False), total)
+    assert counted.where("pairs is not null").agg(F.max("size")).first()[0] <= 4  # first words, next words, ends
+
+
 def test_language_model_equals_a_plain_mixture(spark):
     """The score of every text, from counters of tokens and bigrams and the mixture's own definition; over all tokens it sums to one."""
     rows = [(i, t) for i, t in enumerate(["a b a c", "a b b", "c a b", "b a", "", None, "q a b r"] * 12)]
