@@ -225,9 +225,13 @@ def model_stage(spark: SparkSession, root: str) -> DataFrame:
               CASE WHEN 0.3 + pos * 1.5 / n >= 0.75 AND auc + 0.26 >= 0.8 THEN 'strong' WHEN (0.3 + pos * 1.5 / n) * (auc + 0.26) >= 0.4 THEN 'moderate' ELSE 'limited' END AS label FROM m""",
 )
 def publication_gates(spark: SparkSession, root: str) -> DataFrame:
-    m = table(spark, root, "lineitem").groupBy("l_suppkey").agg(
-        F.count("*").alias("n"), F.avg("l_discount").alias("brier"), (F.avg("l_tax") * 1.25).alias("base"), (0.5 + F.avg("l_tax")).alias("auc"), F.sum(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).alias("pos"), F.count_distinct(F.year("l_shipdate")).alias("years")
+    rows = table(spark, root, "lineitem")
+    years = rows.select(F.col("l_suppkey").alias("__key"), F.year("l_shipdate").alias("__year")).distinct().groupBy("__key").agg(F.count("__year").alias("years"))
+    # Beside a distinct count Spark adds up averages year by year, and labels hang on the last digits of sums in the table's order.
+    means = rows.groupBy("l_suppkey").agg(
+        F.count("*").alias("n"), F.avg("l_discount").alias("brier"), (F.avg("l_tax") * 1.25).alias("base"), (0.5 + F.avg("l_tax")).alias("auc"), F.sum(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).alias("pos")
     )
+    m = means.join(years, F.col("l_suppkey").eqNullSafe(F.col("__key")))
     n, pos = F.col("n"), F.col("pos")
     held = R.reasons(few_rows=n < 60, worse_than_base=F.col("brier") >= F.col("base"), few_years=F.col("years") < 7)
     return m.select(
