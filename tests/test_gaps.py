@@ -18,7 +18,7 @@ def test_missing_numbers(spark, run):
     assert sorted(map(tuple, got)) == sorted((g, n) for g, numbers in held.items() for n in range(1, max(numbers, default=0)) if n not in numbers)
 
 
-@pytest.mark.parametrize("name", ["missing_seq"])
+@pytest.mark.parametrize("name", ["missing_seq", "missing_seq_whole"])
 def test_rows_are_shuffled_once(spark, name):
     plan = catalog.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
